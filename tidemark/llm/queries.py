@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embedding, lines, lm, mixing, quality, sharding, simhash
+from tidemark.llm import bpe, embedding, extraction, lines, lm, mixing, quality, sharding, simhash
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,10 @@ def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_simhash, op5_bpe, op6_embedding, op8_sharding, op9_lm_scoring, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_simhash, op5_bpe, op6_embedding, op7_html_extraction, op8_sharding, op9_lm_scoring, op10_line_dedup)}
 
 OP1_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
