@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embedding, extraction, lines, lm, mixing, quality, sharding, simhash
+from tidemark.llm import bpe, embedding, extraction, license, lines, lm, mixing, quality, sharding, simhash
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path; source, language and id stand for one."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license.license_scan(files).select("doc_id", "path", "license", "license_score", "license_basis", "license_dir")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -47,7 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_simhash, op5_bpe, op6_embedding, op7_html_extraction, op8_sharding, op9_lm_scoring, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_license_scan, op4_simhash, op5_bpe, op6_embedding, op7_html_extraction, op8_sharding, op9_lm_scoring, op10_line_dedup)}
 
 OP1_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
@@ -87,4 +94,29 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id)::BIGINT AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
 FROM v JOIN r ON r.a = v.vec_id GROUP BY v.vec_id"""
 
-ORACLE_SQL = {"op6_embedding": OP6_SQL, "op1_quality_rules": OP1_SQL, "op10_line_dedup": OP10_SQL}
+
+
+def _op3_sql() -> str:
+    """The plain product: every line and every text against every template, then the nearest directory."""
+    idf, other, vectors = license.weights(license.TEMPLATES)
+    rows = ", ".join(f"({k}, '{name}', '{t}', {idf[t]!r}::DOUBLE, {w!r}::DOUBLE)" for k, (name, v) in enumerate(vectors) for t, w in sorted(v.items()))
+    return rf"""
+WITH tpl(k, license, term, idf, w) AS (VALUES {rows}), idfs AS (SELECT DISTINCT term, idf FROM tpl),
+f AS (SELECT doc_id, source || '/' || lang AS dir, source || '/' || lang || '/' || doc_id AS path, text FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS body, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f)),
+u AS (SELECT doc_id, line, body FROM l UNION ALL SELECT doc_id, 0, text FROM f),
+t AS (SELECT doc_id, line, term, count(*) AS n FROM (SELECT doc_id, line, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license.TERM}')) AS term FROM u) GROUP BY ALL),
+x AS (SELECT doc_id, line, term, n * coalesce(idf, {other!r}::DOUBLE) AS x FROM t LEFT JOIN idfs USING (term)),
+nrm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+s AS (SELECT x.doc_id, x.line, k, license, sum(x.x * tpl.w) / any_value(norm) AS score FROM x JOIN tpl USING (term) JOIN nrm USING (doc_id, line) GROUP BY ALL HAVING sum(x.x * tpl.w) / any_value(norm) >= 0.8),
+b AS (SELECT doc_id, line, license, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, k) = 1),
+w AS (SELECT doc_id, license, score FROM b WHERE line = 0),
+h AS (SELECT doc_id, license, score FROM b WHERE line > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) = 1),
+d AS (SELECT dir, license FROM w JOIN f USING (doc_id) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1)
+SELECT f.doc_id, path, coalesce(w.license, h.license, d.license) AS license, coalesce(w.score, h.score) AS license_score,
+ CASE WHEN w.license IS NOT NULL THEN 'file' WHEN h.license IS NOT NULL THEN 'header' WHEN d.license IS NOT NULL THEN 'inherited' END AS license_basis,
+ CASE WHEN w.license IS NULL AND h.license IS NULL AND d.license IS NOT NULL THEN f.dir END AS license_dir
+FROM f LEFT JOIN w USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN d USING (dir)"""
+
+
+ORACLE_SQL = {"op3_license_scan": _op3_sql(), "op6_embedding": OP6_SQL, "op1_quality_rules": OP1_SQL, "op10_line_dedup": OP10_SQL}
