@@ -110,12 +110,12 @@ def suffix_product(t):
 
 
 @query(f"""WITH {BARS} SELECT ticker, date, round(CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END, 6) AS mean20, round(CASE WHEN count(close) OVER w >= 20 THEN stddev_samp(close) OVER w END, 6) AS sd20,
- round(CASE WHEN count(close) OVER w >= 10 THEN max(close) OVER w END, 6) AS max20, round(CASE WHEN count(close) OVER m >= 3 THEN quantile_cont(close, 0.5) OVER m END, 3) AS med5
+ round(CASE WHEN count(close) OVER w >= 10 THEN max(close) OVER w END, 6) AS max20, round(CASE WHEN count(close) OVER m >= 5 THEN quantile_cont(close, 0.5) OVER m END, 9) AS med5
  FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), m AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""", dates="date")
 def rolling_stats(t):
     b, roll = bars(t), lambda n, fn, least=None: sem.rolling("close", n, fn, "ticker", "date", least)
     m = Window.partitionBy("ticker").orderBy("date").rowsBetween(-2, 2)
-    return b.select("ticker", "date", r(roll(20, F.avg)).alias("mean20"), r(roll(20, F.stddev_samp)).alias("sd20"), r(roll(20, F.max, 10)).alias("max20"), r(sem.guarded(F.percentile("close", F.lit(0.5)), "close", m, 3), 3).alias("med5"))
+    return b.select("ticker", "date", r(roll(20, F.avg)).alias("mean20"), r(roll(20, F.stddev_samp)).alias("sd20"), r(roll(20, F.max, 10)).alias("max20"), r(sem.guarded(F.percentile("close", F.lit(0.5)), "close", m, 5), 9).alias("med5"))
 
 
 @query(f"""WITH {BARS}, x AS (SELECT ticker, date, close, avg(close) OVER w AS m, list(close) OVER w AS l, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))

@@ -54,6 +54,19 @@ BARS = """bars AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 
+def dense(t: Tables) -> DataFrame:
+    """Daily bars of eight groups of suppliers, which trade nearly every day."""
+    o = F.struct("l_orderkey", "l_linenumber")
+    x = t.lineitem.withColumn("p", F.col("l_extendedprice") / F.col("l_quantity")).withColumn("ticker", F.concat(F.lit("S"), (F.col("l_suppkey") % 8).cast("string")))
+    return x.groupBy("ticker", F.to_date("l_shipdate").alias("date")).agg(F.min_by("p", o).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", o).alias("close"), F.sum("l_quantity").alias("volume"))
+
+
+DENSE = """bars AS (SELECT 'S' || CAST(l_suppkey % 8 AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
+ arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS open, max(l_extendedprice / l_quantity) AS high,
+ min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS close, sum(l_quantity) AS volume
+ FROM lineitem GROUP BY 1, 2)"""
+
+
 def returns(t: Tables) -> DataFrame:
     """Monthly log returns of order volume by market segment: (ticker, date, r)."""
     from pyspark.sql import Window
