@@ -19,16 +19,26 @@ from tidemark.llm.common import SPACE, checkpointed, own_names, shuffle_partitio
 SEGMENT_BITS = 1 << 20
 #: Positions held in a task before they are sent on.
 FLUSH = 4_000_000
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_STRIP = SPACE.encode()
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACE).translate(_LOWER)
+def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
+    """The key of each line, None where it has fewer than min_chars code points. UTF-8 throughout: only ASCII changes."""
+    keys = [x.strip(_STRIP) for x in (text or "").encode().lower().split(b"\n")]
+    return [k if len(k) >= min_chars and (k.isascii() or len(k.decode()) >= min_chars) else None for k in keys]
 
 
-def digests(text: str | None, min_chars: int) -> dict[bytes, str]:
-    """128-bit digest of each distinct key of at least min_chars code points."""
-    return {xxhash.xxh3_128_digest(k): k for k in {line_key(x) for x in (text or "").split("\n")} if len(k) >= min_chars}
+def digests(text: str | None, min_chars: int) -> bytes:
+    """The 128-bit digests of a text's distinct keys, end to end."""
+    return b"".join(map(xxhash.xxh3_128_digest, {*line_keys(text, min_chars)} - {None}))
+
+
+def _keys(min_chars: int):
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([digests(t, min_chars) for t in texts], dtype=object)
+
+    return run
 
 
 def positions(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -36,7 +46,7 @@ def positions(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys & np.uint64(bits - 1)
 
 
-def _set_bits(min_chars: int, bits: int):
+def _set_bits(bits: int):
     def run(batches):
         held, n = [], 0
 
@@ -53,10 +63,9 @@ def _set_bits(min_chars: int, bits: int):
             return pd.DataFrame(rows, columns=["segment", "bits"])
 
         for pdf in batches:
-            for text in pdf.iloc[:, 0]:
-                if found := digests(text, min_chars):
-                    held.append(np.frombuffer(b"".join(found), dtype="<u8").reshape(-1, 2))
-                    n += 2 * len(held[-1])
+            for found in pdf["keys"]:
+                held.append(np.frombuffer(found, dtype="<u8").reshape(-1, 2))
+                n += 2 * len(held[-1])
                 if n >= FLUSH:
                     yield flush()
                     held, n = [], 0
@@ -85,7 +94,7 @@ def _merge(batches):
         yield pd.DataFrame({"segment": [segment], "bits": [zstandard.ZstdCompressor(1).compress(np.packbits(twice).tobytes())]})
 
 
-def _suspects(min_chars: int, bits: int, filters):
+def _suspects(bits: int, filters):
     def run(batches):
         n = max(1, bits // SEGMENT_BITS)
         seen = np.zeros((n, SEGMENT_BITS // 8), dtype=np.uint8)
@@ -94,16 +103,13 @@ def _suspects(min_chars: int, bits: int, filters):
         seen = seen.ravel()
         for pdf in batches:
             ids, rows, keys = [], [], []
-            for i, row, text in pdf.itertuples(index=False):
-                found = digests(text, min_chars)
-                if not found:
-                    continue
-                at = positions(np.frombuffer(b"".join(found), dtype="<u8").reshape(-1, 2), bits)
+            for i, row, found in zip(pdf["doc"].astype(object), pdf["row"], pdf["keys"], strict=True):
+                at = positions(np.frombuffer(found, dtype="<u8").reshape(-1, 2), bits)
                 hit = ((seen[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-                for k in np.fromiter(found, dtype=object, count=len(found))[hit]:
-                    ids.append(i)
+                for k in np.flatnonzero(hit).tolist():
+                    ids.append(None if i != i else i)
                     rows.append(row)
-                    keys.append(k)
+                    keys.append(found[16 * k : 16 * k + 16])
             yield pd.DataFrame({"doc": pd.array(ids, dtype="Int64"), "row": pd.Series(rows, dtype="int64"), "key": pd.Series(keys, dtype=object)})
 
     return run
@@ -117,7 +123,8 @@ def _rewrite(min_chars: int):
             parts = stay = (text or "").split("\n")
             if drop is not None and len(drop):
                 gone = {bytes(x) for x in drop}
-                stay = [x for x in parts if len(k := line_key(x)) < min_chars or xxhash.xxh3_128_digest(k) not in gone]
+                keys = line_keys(text, min_chars)
+                stay = [x for x, k in zip(parts, keys, strict=True) if k is None or xxhash.xxh3_128_digest(k) not in gone]
             n.append(len(parts))
             dropped.append(len(parts) - len(stay))
             kept.append("\n".join(stay))
@@ -129,15 +136,16 @@ def _rewrite(min_chars: int):
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, bits_per_line: int, max_bits: int) -> DataFrame:
     """(row, drop) of each row of docs (doc, row, body) that loses lines: the digests of the keys to drop."""
     spark = docs.sparkSession
-    lines = docs.agg(F.sum(F.size(F.split(F.coalesce("body", F.lit("")), "\n")))).first()[0] or 0
+    keyed = checkpointed(docs.select("doc", "row", _keys(min_chars)("body").alias("keys")).where(F.octet_length("keys") > 0))
+    lines = (keyed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 16
     bits = min(max_bits, max(SEGMENT_BITS, 1 << (max(1, lines) * bits_per_line - 1).bit_length()))
-    once = docs.select("body").mapInPandas(_set_bits(min_chars, bits), "segment long, bits binary")
+    once = keyed.select("keys").mapInPandas(_set_bits(bits), "segment long, bits binary")
     parts = max(1, min(bits // SEGMENT_BITS, shuffle_partitions(spark)))
     twice = once.repartition(parts, "segment").sortWithinPartitions("segment").mapInPandas(_merge, "segment long, bits binary")
     filters = spark.sparkContext.broadcast([(int(s), bytes(b)) for s, b in twice.collect()])  # max_bits / 8 bytes at most
-    held = docs.select("doc", "row", "body").mapInPandas(_suspects(min_chars, bits, filters), "doc long, row long, key binary")
-    held = checkpointed(held)
-    ends = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
+    held = checkpointed(keyed.mapInPandas(_suspects(bits, filters), "doc long, row long, key binary"))
+    # a written table of its own, so that Spark can split the join at a line that very many documents hold
+    ends = checkpointed(held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs))
     lost = held.join(ends, "key").where(~F.col("doc").eqNullSafe(F.col("last")))
     return lost.groupBy("row").agg(F.collect_set("key").alias("drop"))
 
