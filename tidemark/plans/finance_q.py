@@ -26,14 +26,13 @@ def technical_indicators(t):
     return out.select("ticker", "date", r("return_1d").alias("return_1d"), r("drawdown").alias("drawdown"), *[r(c, 4).alias(c) for c in four], *[r(c, 8).alias(c) for c in eight], r("obv", 2).alias("obv"), r("pvt", 2).alias("pvt"))
 
 
-@query(f"""WITH RECURSIVE {BARS}, n AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM bars WHERE date < DATE '1996-01-01'),
+@query(f"""WITH RECURSIVE {BARS}, n AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM bars),
 e AS (SELECT ticker, date, i, close AS e12, close AS e26, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, close FROM n WHERE i = 1 UNION ALL
  SELECT n.ticker, n.date, n.i, e12 + (n.close - e12) * 2 / 13.0, e26 + (n.close - e26) * 2 / 27.0,
   CASE WHEN g IS NULL THEN greatest(n.close - e.close, 0) ELSE g + (greatest(n.close - e.close, 0) - g) / 14.0 END, CASE WHEN l IS NULL THEN greatest(e.close - n.close, 0) ELSE l + (greatest(e.close - n.close, 0) - l) / 14.0 END, n.close FROM e JOIN n ON e.ticker = n.ticker AND n.i = e.i + 1)
 SELECT ticker, date, round(e12 - e26, 3) AS macd, CASE WHEN i > 14 THEN round(100 - 100 / (1 + g / l), 3) END AS rsi_14 FROM e""", dates="date")
 def ema_macd_rsi(t):
-    b = bars(t).where(F.col("date") < F.lit("1996-01-01").cast("date"))
-    return indicators.recursive_indicators(b).select("ticker", "date", r("macd", 3).alias("macd"), r(F.nanvl("rsi_14", F.lit(None).cast("double")), 3).alias("rsi_14"))
+    return indicators.recursive_indicators(bars(t)).select("ticker", "date", r("macd", 3).alias("macd"), r(F.nanvl("rsi_14", F.lit(None).cast("double")), 3).alias("rsi_14"))
 
 
 @query()
@@ -99,12 +98,12 @@ def newey_west(t):
     return metrics.newey_west(returns(t), "ticker", "date", "r", 2).select("ticker", r("lrv").alias("lrv"))
 
 
-@query("""WITH m AS (SELECT l_partkey AS p, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, avg(l_extendedprice / l_quantity) AS v, sum(l_quantity) AS q FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY 1, 2),
+@query("""WITH m AS (SELECT l_partkey AS p, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, avg(l_extendedprice / l_quantity) AS v, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
 x AS (SELECT p, m, v / lag(v, 12) OVER w - 1 AS mom FROM m WINDOW w AS (PARTITION BY p ORDER BY m)) SELECT m, p, round(mom, 6) AS mom FROM x WHERE mom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY m ORDER BY mom DESC, p) <= 5""", dates="m")
 def momentum_topk(t):
     from tidemark.portfolio import top_by_signal
 
-    m = t.lineitem.where("l_partkey % 10 = 0").groupBy(F.col("l_partkey").alias("p"), F.to_date(F.trunc("l_shipdate", "month")).alias("m")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+    m = t.lineitem.groupBy(F.col("l_partkey").alias("p"), F.to_date(F.trunc("l_shipdate", "month")).alias("m")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
     w = Window.partitionBy("p").orderBy("m")
     x = m.select("m", "p", (F.try_divide(F.col("v"), F.lag("v", 12).over(w)) - 1).alias("mom")).where("mom IS NOT NULL")
     return top_by_signal(x, "m", "p", "mom", 5).select("m", "p", r("mom").alias("mom"))

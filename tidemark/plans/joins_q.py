@@ -141,11 +141,11 @@ def union_distinct(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
 
 
-@query("""WITH y AS (SELECT s_suppkey % 7 AS k, year(l_shipdate)::INT AS y, list_sort(list(DISTINCT l_partkey % 50)) AS items FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 11 = 0 GROUP BY 1, 2)
+@query("""WITH y AS (SELECT s_suppkey % 7 AS k, year(l_shipdate)::INT AS y, list_sort(list(DISTINCT l_partkey % 50)) AS items FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
 SELECT k, y, len(list_filter(items, lambda x: NOT list_contains(coalesce(p, []), x)))::INT AS added, len(list_filter(coalesce(p, []), lambda x: NOT list_contains(items, x)))::INT AS removed, len(list_filter(items, lambda x: list_contains(coalesce(p, []), x)))::INT AS kept
  FROM (SELECT k, y, items, lag(items) OVER (PARTITION BY k ORDER BY y) AS p FROM y)""")
 def set_changes(t):
-    x = t.lineitem.where("l_partkey % 11 = 0").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy((F.col("s_suppkey") % 7).alias("k"), F.year("l_shipdate").alias("y")).agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("items"))
+    x = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy((F.col("s_suppkey") % 7).alias("k"), F.year("l_shipdate").alias("y")).agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("items"))
     p = F.coalesce(F.lag("items").over(Window.partitionBy("k").orderBy("y")), F.array().cast("array<bigint>"))
     x = x.withColumn("p", p)
     return x.select("k", "y", F.size(F.array_except("items", "p")).alias("added"), F.size(F.array_except("p", "items")).alias("removed"), F.size(F.array_intersect("items", "p")).alias("kept"))
