@@ -116,4 +116,4 @@ def medoids(t):
 
     m = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     m = m.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("mean"))
-    return m.groupBy(F.lit(1)).applyInPandas(run, "label int, cluster int")
+    return m.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "label int, cluster int")
