@@ -25,6 +25,8 @@ END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\r"))
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 8192
 #: Tokens of a trie partition, about; PARTS partitions at least.
 PART_TOKENS, PARTS = 4_000_000, 48
+#: Tokens that a task holds unpacked at a time.
+ROUND_TOKENS = 700_000
 #: Pseudo-counts of the smoothing.
 STRENGTH = 1000.0
 MEMO_WORDS = 500_000
@@ -95,14 +97,15 @@ def _scatter(parts: int, heavy: np.ndarray):
             part = part_of(w, v, heavy, parts)
             order = np.lexsort((v, w, part))
             w, v, doc, part = w[order], v[order], doc[order], part[order]
-            known = np.array([i is not None for i in ids])
-            table = z.compress(np.array([i or 0 for i in ids], dtype=np.int64).tobytes() + known.tobytes())
+            known, number = np.array([i is not None for i in ids]), np.array([i or 0 for i in ids], dtype=np.int64)
             cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 own, n = np.unique(w[a:b], return_counts=True)
-                head = np.array([len(ids), len(own), b - a], dtype=np.int64)
-                rows.append((int(part[a]), chunk, table, z.compress(b"".join(x.tobytes() for x in (head, own, n.astype(np.uint32), v[a:b], doc[a:b])))))
+                there, at = np.unique(doc[a:b], return_inverse=True)  # only documents with tokens here
+                head = np.array([len(there), len(own), b - a], dtype=np.int64)
+                table = z.compress(there.astype(np.uint16).tobytes() + known[there].tobytes() + number[there].tobytes())
+                rows.append((int(part[a]), chunk, table, z.compress(b"".join(x.tobytes() for x in (head, own, n.astype(np.uint32), v[a:b], at.astype(np.uint16))))))
             return pd.DataFrame(rows, columns=["part", "chunk", "docs", "tokens"])
 
         n = 0
@@ -135,9 +138,10 @@ def _unpack(blob: bytes):
 
 
 def _doc_table(blob: bytes):
+    """Numbers in the chunk, whether the id is known, and ids."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(raw) // 9
-    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, bool, n, 8 * n)
+    n = len(raw) // 11
+    return np.frombuffer(raw, np.uint16, n), np.frombuffer(raw, bool, n, 2 * n), np.frombuffer(raw, np.int64, n, 3 * n)
 
 
 def _groups(*sorted_keys):
@@ -172,6 +176,7 @@ def score_part(word, before, doc, train_doc, totals: Totals, strength: float):
     """Partial sums of each document: tokens, known, base and score; arrays of one partition's tokens."""
     order = np.lexsort((before, word))
     word, before, doc = word[order], before[order], doc[order]
+    del order
     train = train_doc[doc]
     w_start, w_of = _groups(word)
     p_start, p_of = _groups(word, before)
@@ -211,23 +216,28 @@ def score_part(word, before, doc, train_doc, totals: Totals, strength: float):
 
 def _reduce(totals: Totals, strength: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, w, v, d, t, spans, at = zstandard.ZstdCompressor(1), [], [], [], [], [], 0
-        for chunk, docs, tokens in zip(pdf["chunk"], pdf["docs"], pdf["tokens"], strict=True):
-            n, word, before, doc = _unpack(tokens)
-            ids, known = _doc_table(docs)
-            w.append(word)
-            v.append(before)
-            d.append(doc.astype(np.int64) + at)
-            t.append(np.array([not held_out(int(i) if k else None) for i, k in zip(ids, known, strict=True)], dtype=bool))
-            spans.append((chunk, docs, at, at + n))
-            at += n
-        sums = score_part(np.concatenate(w), np.concatenate(v), np.concatenate(d), np.concatenate(t), totals, strength)
-        rows = []
-        for chunk, docs, a, b in spans:
-            own = [s[a:b] for s in sums]
-            there = np.flatnonzero(own[0])
-            packed = np.array([len(there)], np.int64).tobytes() + there.astype(np.uint16).tobytes() + b"".join(x[there].astype(k).tobytes() for x, k in zip(own, ("<u4", "<u4", "<f8", "<f8"), strict=True))
-            rows.append((int(chunk), docs, z.compress(packed)))
+        z, train, spans, at, tokens = zstandard.ZstdCompressor(1), [], [], 0, 0
+        for chunk, docs, blob in zip(pdf["chunk"], pdf["docs"], pdf["tokens"], strict=True):
+            there, known, ids = _doc_table(docs)
+            train += [not held_out(int(i) if k else None) for i, k in zip(ids, known, strict=True)]
+            spans.append((chunk, docs, blob, at, at + len(there)))
+            at += len(there)
+            tokens += int(np.frombuffer(zstandard.ZstdDecompressor().stream_reader(blob).read(24), np.int64)[2])
+        train_doc, rounds = np.array(train, dtype=bool), max(1, -(-tokens // ROUND_TOKENS))
+        sums = [np.zeros(at, dtype=k) for k in (np.int64, np.int64, np.float64, np.float64)]
+        for turn in range(rounds):  # the words of a partition in turns, each with its own piece of the trie
+            w, v, d = [], [], []
+            for _, _, blob, lo, _ in spans:
+                _, word, before, doc = _unpack(blob)
+                now = np.flatnonzero((word >> np.uint64(11)) % np.uint64(rounds) == turn) if rounds > 1 else slice(None)
+                w.append(word[now])
+                v.append(before[now])
+                d.append(doc[now].astype(np.int32) + np.int32(lo))
+            w, v, d = np.concatenate(w), np.concatenate(v), np.concatenate(d)
+            if len(w):
+                for total, part in zip(sums, score_part(w, v, d, train_doc, totals, strength), strict=True):
+                    total += part
+        rows = [(int(chunk), docs, z.compress(b"".join(x[a:b].astype(k).tobytes() for x, k in zip(sums, ("<u4", "<u4", "<f8", "<f8"), strict=True)))) for chunk, docs, _, a, b in spans]
         return pd.DataFrame(rows, columns=["chunk", "docs", "sums"])
 
     return run
@@ -237,15 +247,17 @@ def _gather(totals: Totals, strength: float):
     start = float(np.log10(totals.docs + strength))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, known = _doc_table(pdf["docs"].iloc[0])
-        out = [np.zeros(len(ids), dtype=k) for k in (np.int64, np.int64, np.float64, np.float64)]
-        for blob in sorted(bytes(x) for x in pdf["sums"]):  # in a fixed order, so that sums of doubles agree
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            at, where = 8 + 2 * n, np.frombuffer(raw, np.uint16, n, 8)
-            for x, k in zip(out, ("<u4", "<u4", "<f8", "<f8"), strict=True):
-                x[where] += np.frombuffer(raw, k, n, at)
-                at += n * np.dtype(k).itemsize
+        parts = sorted(((bytes(d), bytes(s)) for d, s in zip(pdf["docs"], pdf["sums"], strict=True)))  # in a fixed order, so that sums of doubles agree
+        tables = [_doc_table(d) for d, _ in parts]
+        n = max(int(t[0][-1]) for t in tables) + 1
+        ids, known = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        out = [np.zeros(n, dtype=k) for k in (np.int64, np.int64, np.float64, np.float64)]
+        for (where, k, i), (_, blob) in zip(tables, parts, strict=True):
+            ids[where], known[where] = i, k
+            raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
+            for x, kind in zip(out, ("<u4", "<u4", "<f8", "<f8"), strict=True):
+                x[where] += np.frombuffer(raw, kind, len(where), at)
+                at += len(where) * np.dtype(kind).itemsize
         doc = pd.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], dtype="Int64")
         return pd.DataFrame({"doc_id": doc, "held_out": [held_out(None if x is pd.NA else x) for x in doc], "n_tokens": out[0], "n_known": out[1], "train_tokens": totals.tokens,
                              "base_score": out[2], "score": out[3] - start})
