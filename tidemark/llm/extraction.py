@@ -166,6 +166,7 @@ def page_tokens(source: str | None) -> dict[int, tuple[int, int]]:
 
 
 def _emit(batches):
+    """(host, page, token, n, first), host as a hash."""
     for pdf in batches:
         rows = []
         for host, source in zip(pdf["host"], pdf["html"], strict=True):
@@ -175,14 +176,14 @@ def _emit(batches):
 
 
 def templates(pages: DataFrame, share: float = 0.9, min_pages: int = 5) -> DataFrame:
-    """(host, template): for each host its frequent tokens with their class, in order.
+    """(host, template): for each host (a hash) its frequent tokens with their class, in order.
 
     pages: (host, html). Copies of a page count once. A class is the tokens of one occurrence vector; the vector's digest is
     an exclusive or over pages, so it is put together in any order and no host is gathered. A token belongs to the template
     if its class is in `share` of the host's pages, and these are min_pages or more; a host's template is no longer than
     1 / share of a page.
     """
-    rows = pages.where("host IS NOT NULL").mapInPandas(_emit, "host string, page long, token long, n long, first long")
+    rows = pages.where("host IS NOT NULL").mapInPandas(_emit, "host long, page long, token long, n long, first long")
     once = rows.groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("first").alias("first"))
     vectors = once.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.avg("first").alias("place"))
     vectors = checkpointed(vectors)
@@ -222,6 +223,8 @@ def main_text(source: str | None, template: list[tuple[float, int, int]] | None)
     return " ".join(b.text for b in chosen)
 
 
+#: Tokens of all templates together up to which they are sent to every executor; beyond it they are joined by shuffle.
+BROADCAST_TOKENS = 500_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 
 
@@ -232,8 +235,11 @@ def extract_main_text(pages: DataFrame, share: float = 0.9, min_pages: int = 5,
     template and are cut by their elements alone. Repeated rows are extracted each. An empty table gives no rows.
     """
     url = F.col(f"`{url_col}`").cast("string")
-    src = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    found = templates(src.select("host", "html"), share, min_pages)
+    src = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), F.xxhash64(F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))).alias("host"), (F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1) != "").alias("named"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    src = src.withColumn("host", F.when(F.col("named"), F.col("host")))
+    found = checkpointed(templates(src.select("host", "html"), share, min_pages))
+    if (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        found = F.broadcast(found)
 
     @F.pandas_udf("string")
     def text_of(sources: pd.Series, found: pd.Series) -> pd.Series:
