@@ -54,19 +54,30 @@ def weights(templates) -> tuple[dict[str, float], float, list[tuple[str, dict[st
     return idf, math.log(1 + len(bags)) + 1, vectors
 
 
-def anchors(vectors, threshold: float) -> set[str]:
-    """Terms such that a text without any of them is below the threshold: what is left of each template is shorter than it."""
+def anchors(vectors, threshold: float, frequency: dict[str, int] | None = None) -> set[str]:
+    """Terms such that a text without any of them is below the threshold: what is left of each template is shorter than it.
+
+    Frequent terms are left out first, so that few texts have an anchor; the property holds whatever the frequencies are.
+    """
     out: set[str] = set()
+    seen = frequency or {}
     for _, v in vectors:
-        left = 1.0
-        for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
-            if math.sqrt(max(0.0, left)) < threshold - 1e-9:
-                break
-            out.add(t)
-            left -= w * w
+        left = 0.0
+        for t, w in sorted(v.items(), key=lambda x: (-seen.get(x[0], 0), x[1], x[0])):
+            if math.sqrt(left + w * w) < threshold - 1e-9:
+                left += w * w
+            else:
+                out.add(t)
     return out
 
 
+def term_frequency(files: DataFrame, text_col: str, known: set[str], sample_rows: int) -> dict[str, int]:
+    """In how many of at most sample_rows texts each known term is. It only decides which terms are anchors."""
+    some = files.select(F.col(f"`{text_col}`").cast("string").alias("t")).limit(sample_rows)
+    found = some.select(F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(TERM), 0))).alias("term")).where(F.col("term").isin(*known)).groupBy("term").count()
+    return {r["term"]: r["count"] for r in found.collect()}  # one row a template term
+
+
 def _best(spark: SparkSession, units: DataFrame, keys: list[str], templates, threshold: float) -> DataFrame:
     """(keys, license, score) of units (keys, body) that reach the threshold with a template; ties go to the first name."""
     idf, other, vectors = weights(templates)
@@ -84,7 +95,7 @@ def _best(spark: SparkSession, units: DataFrame, keys: list[str], templates, thr
     return best.where(F.col("best.score") >= threshold).select(*keys, F.col("best.license").alias("license"), F.round("best.score", 6).alias("score"))
 
 
-def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8, sample_rows: int = 2000) -> DataFrame:
     """files with license, license_score, license_basis and license_dir.
 
     basis is `file` if the whole text reaches the threshold with a template (a license file), `header` if only one of its
@@ -99,7 +110,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     key = F.xxhash64(path, text)
     parent = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
     _, _, vectors = weights(templates)
-    pattern = r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(sorted(anchors(vectors, threshold))) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
+    pattern = r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(sorted(anchors(vectors, threshold, term_frequency(files, text_col, {t for _, v in vectors for t in v}, sample_rows)))) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
     some = files.select(key.alias("row"), text.alias("body"), parent.alias("dir")).where(lower_ascii(F.col("body")).rlike(pattern))
     lines = some.select("row", "dir", F.posexplode(F.split("body", "\n")).alias("line", "body")).where(lower_ascii(F.col("body")).rlike(pattern))
     # repeated rows would add up: one of each unit
