@@ -13,11 +13,12 @@ def event_stream(spark: SparkSession, path: str, schema: str, files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def stream_bars(events: DataFrame, by: str, ts: str, price: str, volume: str, width: str = "1 hour", offset: str = "30 minutes", late: str = LATE) -> DataFrame:
+def stream_bars(events: DataFrame, by: str, ts: str, price: str, volume: str, width: str = "1 hour", offset: str = "30 minutes", late: str = LATE, tie: tuple[str, ...] = ()) -> DataFrame:
     """Bars that are final once the watermark has passed their end; later rows are dropped, as the bars are closed."""
     w = F.window(ts, width, width, offset)
     g = events.withWatermark(ts, late).groupBy(w.alias("w"), by)
-    b = g.agg(F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"), F.sum(volume).alias("volume"), F.count("*").alias("n"))
+    order = F.struct(ts, *tie)
+    b = g.agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"), F.count("*").alias("n"))
     return b.select(by, F.col("w.start").alias("bar"), "open", "high", "low", "close", "volume", "n")
 
 
@@ -28,6 +29,13 @@ def keep_last(events: DataFrame, key: list[str], ts: str, order: str, late: str
     return g.select(*key, ts, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Everything that is there now, as a table: written to `folder` by a streaming query that stops at the end of its input."""
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
 def upsert_to(path: str, key: list[str], order: str, partition: str | None = None):
     """A foreachBatch function that merges a batch into a Parquet table: one row a key, the last by order.
 
