@@ -15,10 +15,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import own_names, text_batches
+
 #: Distinct pieces whose ids a worker keeps; the memo is emptied when full.
-MEMO_PIECES = 300_000
-MEMO_PAIRS = 2_000_000
-MEMO_PREFIXES = 1_000_000
+MEMO_PIECES = 100_000
+MEMO_PAIRS = 250_000
+MEMO_PREFIXES = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -258,6 +260,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     The ranks at `path` are read by the driver and broadcast: their size is that of the vocabulary. Null and empty texts
     have no ids. Special tokens are ordinary text. Columns of docs with these names are replaced.
     """
+    text_batches(docs)
     ranks = load_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()))
     kind = "n long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -272,9 +275,10 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
         return pd.DataFrame(out, columns=["n", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("bpe_ids", "bpe_n", "bpe_ids_sha256", "bpe_decoded_sha256")]
-    out = docs.select(*cols, run(F.col(f"`{text_col}`").cast("string")).alias("bpe_"))
-    extra = [F.col("bpe_.n").alias("bpe_n"), F.col("bpe_.ids_sha256").alias("bpe_ids_sha256"), F.col("bpe_.decoded_sha256").alias("bpe_decoded_sha256")]
-    return out.select(*cols, *extra, *([F.col("bpe_.ids").alias("bpe_ids")] if with_ids else []))
+    got, = own_names(docs, "bpe_result")
+    out = docs.select(*cols, run(F.col(f"`{text_col}`").cast("string")).alias(got))
+    extra = [F.col(f"{got}.{c}").alias(f"bpe_{c}") for c in ("n", "ids_sha256", "decoded_sha256")]
+    return out.select(*cols, *extra, *([F.col(f"{got}.ids").alias("bpe_ids")] if with_ids else []))
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "bpe_ids") -> DataFrame:
