@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names, shuffle_partitions
+from tidemark.llm.common import checkpointed, own_names, shuffle_partitions, text_batches
 from tidemark.llm.components import components
 
 BITS = 64
@@ -149,7 +149,7 @@ def _meet(prefix_bits: int, radius: int):
     return run
 
 
-def prefix_bits_for(n: int, radius: int, per_task: int = 8_000_000) -> int:
+def prefix_bits_for(n: int, radius: int, per_task: int = 2_000_000) -> int:
     """Leading bits that keep the variants of one prefix near per_task, whatever the number of fingerprints."""
     total = n * len(masks(BITS, radius // 2))
     return min(32, max(4, int(np.ceil(np.log2(max(1, total / per_task))))))
@@ -172,6 +172,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     there is none). Equal fingerprints are one class before any link is made, so copies cost nothing. row is a digest of id
     and text, equal for repeated rows. An empty table gives empty ones.
     """
+    text_batches(docs)
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
