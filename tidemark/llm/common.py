@@ -39,6 +39,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Texts handed to Python at a time.
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> None:
+    """Lowers the session's rows a batch for Python functions over texts; workers then hold a few megabytes of them."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def own_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for working columns that clash with no column of df."""
     taken = {c.lower() for c in df.columns}

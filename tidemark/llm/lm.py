@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, shuffle_partitions
+from tidemark.llm.common import checkpointed, shuffle_partitions, text_batches
 from tidemark.llm.eliasfano import Trie
 
 #: No word holds these characters.
@@ -271,6 +271,7 @@ def lm_scores(docs: DataFrame, strength: float = STRENGTH, id_col: str = "doc_id
     Rows whose crc32(id as text) leaves remainder 1 by 5 are held out; all others train. A null text is empty: one end
     token. Rows with equal ids are scored each. With no training rows every word is unknown. An empty table gives no rows.
     """
+    text_batches(docs)
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("body"))
     counts = checkpointed(src.mapInPandas(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))

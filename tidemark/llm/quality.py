@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_names
+from tidemark.llm.common import own_names, text_batches
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -125,6 +125,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, tex
     kept doesn't depend on the order; rejected_by does, and the order on measured times. A null text is an empty one.
     Columns of docs named like the results are replaced.
     """
+    text_batches(docs)
     ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_bytes), rules)
 
     @F.pandas_udf("string")
@@ -147,6 +148,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The base measures are needed for every row, so the cascade runs after them on the same measured text and reuses them.
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. A null text has none.
     """
+    text_batches(docs)
     ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_bytes), BASE + RULES)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
