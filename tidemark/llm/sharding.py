@@ -46,8 +46,7 @@ def shard_uniform(docs: DataFrame, n_shards: int = 16, seed: int = 8, cell_rows:
     counts = dict(held.groupBy(F.spark_partition_id().alias("p")).count().collect())
     parts = np.array([counts.get(p, 0) for p in range(max(counts, default=-1) + 1)], dtype=np.int64)
     sizes, shards, first = layout(int(parts.sum()), n_shards, cell_rows)
-    cell, = own_names(held, "cell")
-    order, = own_names(held, "order_key")
+    cell, order, cell_of, shard_of, first_of = own_names(held, "cell", "order_key", "cell_of", "shard_of", "first_of")
 
     def deal(batches):
         p = TaskContext.get().partitionId()
@@ -67,9 +66,9 @@ def shard_uniform(docs: DataFrame, n_shards: int = 16, seed: int = 8, cell_rows:
     dealt = held.mapInPandas(deal, f"{fields}, {cell} int, {order} long")
     w = Window.partitionBy(cell).orderBy(order)
     spark = docs.sparkSession
-    where = spark.createDataFrame(pd.DataFrame({"cell_": np.arange(len(sizes)), "shard_": shards, "first_": first}), "cell_ int, shard_ int, first_ long")
-    ranked = dealt.withColumn(order, F.row_number().over(w) - 1).join(where, F.col(cell) == F.col("cell_"))
-    return ranked.select(*[F.col(f"`{c}`") for c in keep], F.col("shard_").alias("shard"), (F.col(order) + F.col("first_")).alias("slot"))
+    where = spark.createDataFrame(pd.DataFrame({cell_of: np.arange(len(sizes)), shard_of: shards, first_of: first}), f"{cell_of} int, {shard_of} int, {first_of} long")
+    ranked = dealt.withColumn(order, F.row_number().over(w) - 1).join(where, F.col(cell) == F.col(cell_of))
+    return ranked.select(*[F.col(f"`{c}`") for c in keep], F.col(shard_of).alias("shard"), (F.col(order) + F.col(first_of)).alias("slot"))
 
 
 def shard_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
