@@ -110,7 +110,7 @@ def test_market_cap_across_a_split(spark):
                                "ticker string, date date, close double, stock_splits double, currency string, fx_to_usd double")
     comp = spark.createDataFrame([(1, "AAPL", None)], "corporate_id int, primary_ticker string, yf_shares_outstanding double")
     counts = spark.createDataFrame([(1, D("2020-07-17"), 4.275e9, D("2020-06-27"), D("2020-07-31")), (1, D("2020-10-16"), 17.1e9, D("2020-09-26"), D("2020-10-30"))], "corporate_id int, shares_as_of date, shares_outstanding double, period_end date, filed_date date")
-    out = marketcap.run(spark, px, comp, counts, spark.createDataFrame([], "corporate_id int, shares double, d date"))
+    out = marketcap.run(px, comp, counts, spark.createDataFrame([], "corporate_id int, shares double, d date"))
     caps = rows(out["market_cap"], "date")
     assert caps[D("2020-08-28"),].market_cap == pytest.approx(124.81 * 4 * 4.275e9) and caps[D("2020-08-31"),].market_cap == pytest.approx(129.04 * 4 * 4.275e9)
     assert caps[D("2020-08-28"),].shares_outstanding == pytest.approx(4.275e9) and caps[D("2020-08-31"),].shares_outstanding == pytest.approx(17.1e9)

@@ -1,6 +1,6 @@
 """Market capitalisation on one split basis: corporate actions, share counts, daily values, checks."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.domain import fx
@@ -163,9 +163,8 @@ def shares_check(caps: DataFrame, companies: DataFrame, limit: float = 0.2) -> D
     return last.withColumn("ratio", F.try_divide("shares_outstanding", F.col("yf_shares_outstanding").cast("double"))).where(F.abs(F.col("ratio") - 1) > limit)
 
 
-def run(spark: SparkSession, prices: DataFrame, companies: DataFrame, counts: DataFrame, current: DataFrame, deals: DataFrame | None = None, overrides: dict | None = None) -> dict[str, DataFrame]:
+def run(prices: DataFrame, companies: DataFrame, counts: DataFrame, current: DataFrame, deals: DataFrame | None = None, overrides: dict | None = None) -> dict[str, DataFrame]:
     """Actions, share events, market caps and both checks from their inputs."""
-    del spark
     comp = companies.where("primary_ticker IS NOT NULL")
     splits = prices.where("stock_splits > 0 AND stock_splits <> 1").select("ticker", "date", F.col("stock_splits").alias("yahoo_factor"))
     splits = splits.join(comp.select("corporate_id", F.col("primary_ticker").alias("ticker")), "ticker", "left")

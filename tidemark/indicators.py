@@ -45,8 +45,7 @@ def window_indicators(df: DataFrame, by: str = "ticker", order: str = "date") ->
     one partitioning, so there is one shuffle.
     """
     f = Frames(by, order)
-    o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-    del o
+    h, l, c, v = (F.col(x) for x in ("high", "low", "close", "volume"))
     ret, tp, mid = ratio(c, f.lag(c)) - 1, (h + l + c) / 3, (h + l) / 2
     prev = f.lag(c)
     sma20, sd20 = f.full(F.avg, c, 20), f.full(F.stddev_samp, c, 20)
