@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 A source's documents fall into blocks by a hash. Whole passes over a source and a random set of its blocks make up its
-target; the last block is taken in part. A splitting tree of multivariate hypergeometric draws deals each source's exact
+target, blocks that no longer fit being passed over; the smallest of these is taken in part. A splitting tree of multivariate hypergeometric draws deals each source's exact
 number of block copies to the output shards; the shards then take disjoint runs of the source's permuted block copies,
 and rows are shuffled inside their shard.
 """
@@ -57,17 +57,17 @@ def plan_mix(block_sizes: list[tuple], n_shards: int, seed: int, weights=WEIGHTS
     for i, s in enumerate(names):
         rng, own, need = generator(seed, i), sorted(by[s]), goal[i]
         taken, part = [], None
-        while need > 0 and sizes[i] > 0:
+        while need > 1e-9 * sizes[i] and part is None:
+            left = []
             for j in rng.permutation(len(own)):
                 block, size = own[j]
                 if size <= need:
                     taken.append(block)
                     need -= size
                 else:
-                    part, need = (block, need), 0
-                    break
-            if need < 1e-9 * sizes[i]:
-                need = 0
+                    left.append((size, block))  # later blocks may still fit
+            if left:
+                part = (min(left)[1], need)
         copies.append((taken, part))
     quotas = np.array([len(t) + (p is not None) for t, p in copies], dtype=np.int64)
     room = np.full(n_shards, int(quotas.sum()) // n_shards, dtype=np.int64)
@@ -91,29 +91,32 @@ def plan_mix(block_sizes: list[tuple], n_shards: int, seed: int, weights=WEIGHTS
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_shards: int = 16, n_blocks: int = 256, seed: int = 20, weights=WEIGHTS, limit: float = 3.0) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_taken and mix_shards, the shard of each copy that the mix takes.
 
-    A source's taken words differ from its target by half a document at most (where the last part ends). Null texts have
+    A source's taken words differ from its target by half a document of its last block at most (where the last part ends). Null texts have
     size 0 and follow their block. Null sources are one source, the last. The number of sources is the mix's own list; with
     n_blocks blocks for each it bounds what the driver plans and what is broadcast, whatever the number of rows.
     """
     spark = docs.sparkSession
-    block, size, mark, key = own_names(docs, "block", "mix_size", "before", "row_key")
+    block, size, mark, key = own_names(docs, "mix_block", "mix_words", "mix_before", "row_key")
     sid, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     key_of = F.xxhash64(sid, text, F.lit(seed))
     rows = docs.withColumn(key, key_of).withColumn(size, n_words(text)).withColumn(block, F.pmod(F.shiftright(F.col(key), 8), F.lit(n_blocks)).cast("int"))
     source = F.col(f"`{source_col}`")
     found = rows.groupBy(source.alias("s"), F.col(block).alias("b")).agg(F.sum(size).alias("n")).collect()
     plan = plan_mix([(r.s, r.b, r.n) for r in found], n_shards, seed, weights, limit)
-    schema = "p_source string, p_block int, p_shards array<int>, p_part double, p_shard int, p_size long, p_target double"
+    names = own_names(docs, "p_source", "p_block", "p_shards", "p_part", "p_shard", "p_size", "p_target")
+    p_source, p_block, p_shards, p_part, p_shard, p_size, p_target = names
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, ("string", "int", "array<int>", "double", "int", "long", "double"), strict=True))
     table = spark.createDataFrame([(s, b, x, w, t, *plan.sources[s]) for s, b, x, w, t in plan.blocks], schema)
-    out = rows.join(F.broadcast(table), source.eqNullSafe(F.col("p_source")) & (F.col(block) == F.col("p_block")))
-    # only the last blocks, one a source, need their rows in order
-    w = Window.partitionBy("p_source", "p_block").orderBy(key, sid).rowsBetween(Window.unboundedPreceding, -1)
-    cut = out.where("p_shard >= 0").withColumn(mark, F.coalesce(F.sum(size).over(w), F.lit(0)))
-    cut = cut.withColumn("p_shards", F.when(F.col("p_part") - F.col(mark) >= F.col(size) / 2, F.array_append("p_shards", F.col("p_shard"))).otherwise(F.col("p_shards"))).drop(mark)
-    both = out.where("p_shard < 0").unionByName(cut)
+    out = rows.join(F.broadcast(table), source.eqNullSafe(F.col(p_source)) & (F.col(block) == F.col(p_block)))
+    # only the last blocks, one a source, need their rows in order, the larger documents first
+    w = Window.partitionBy(p_source, p_block).orderBy(F.desc(size), key, sid).rowsBetween(Window.unboundedPreceding, -1)
+    cut = out.where(F.col(p_shard) >= 0).withColumn(mark, F.coalesce(F.sum(size).over(w), F.lit(0)))
+    more = F.col(p_part) - F.col(mark) >= F.col(size) / 2
+    cut = cut.withColumn(p_shards, F.when(more, F.array_append(p_shards, F.col(p_shard))).otherwise(F.col(p_shards))).drop(mark)
+    both = out.where(F.col(p_shard) < 0).unionByName(cut)
     cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shards")]
-    return both.select(*cols, F.col(size).alias("mix_size"), F.col("p_size").alias("mix_source_size"), F.col("p_target").alias("mix_target"),
-                       (F.col(size) * F.size("p_shards")).alias("mix_taken"), F.col("p_shards").alias("mix_shards"))
+    return both.select(*cols, F.col(size).alias("mix_size"), F.col(p_size).alias("mix_source_size"), F.col(p_target).alias("mix_target"),
+                       (F.col(size) * F.size(p_shards)).alias("mix_taken"), F.col(p_shards).alias("mix_shards"))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
