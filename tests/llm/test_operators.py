@@ -518,3 +518,13 @@ def test_counting_words(spark):
     texts = ["", None, " a\tb\x0bc\x0c\rd\n", "é x y z", "x" * 1000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r.n for r in df.select("i", common.n_words(F.col("t")).alias("n")).orderBy("i").collect()] == [len(words(t)) for t in texts]
+
+
+def test_clashing_columns(spark):
+    """Columns of the input that are named like working columns are carried unharmed."""
+    names = ["p_source", "p_shard", "mix_block", "row_key", "cell", "cell_of", "order_key", "h_license", "n_dir", "dir", "row", "body", "key", "fp", "drop_keys", "first_failure", "bpe_", "line_result"]
+    df = spark.createDataFrame([(i, f"some words number {i} " * 9, "s", "d/f", *[f"{n}{i}" for n in names]) for i in range(6)], "doc_id long, text string, source string, path string, " + ", ".join(f"{n} string" for n in names))
+    path = public_tokenizers.path(NAMES[1])
+    for out in (mixing.mixed(df), sharding.shard_uniform(df, 2), license.license_scan(df), lines.dedup_lines(df), simhash.drop_near_duplicates(df), quality.quality_cascade(df), bpe.bpe_encode(df, path, public_tokenizers.PATTERN)):
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
