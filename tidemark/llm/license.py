@@ -105,35 +105,46 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     results. Columns of files named like the results are replaced.
     """
     spark = files.sparkSession
-    row, dir_, = own_names(files, "row_key", "parent_dir")
+    row, dir_, h_license, h_score, w_license, w_score, n_dir, n_license = own_names(files, "row_key", "parent_dir", "h_license", "h_score", "w_license", "w_score", "n_dir", "n_license")
     text, path = F.col(f"`{text_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")
     key = F.xxhash64(path, text)
     parent = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
     _, _, vectors = weights(templates)
-    pattern = r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(sorted(anchors(vectors, threshold, term_frequency(files, text_col, {t for _, v in vectors for t in v}, sample_rows)))) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
-    some = files.select(key.alias("row"), text.alias("body"), parent.alias("dir")).where(lower_ascii(F.col("body")).rlike(pattern))
+    keep_terms = sorted(anchors(vectors, threshold, term_frequency(files, text_col, {t for _, v in vectors for t in v}, sample_rows)))
+    pattern = r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(keep_terms) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
+
+    def holds(low):
+        out = low.contains(keep_terms[0])
+        for t in keep_terms[1:]:
+            out = out | low.contains(t)
+        return out
+
+    # the text is put in lower case once and searched for plain strings; only what has one is matched word by word
+    maybe = F.exists(F.array(F.lower(F.col("body"))), holds)
+    some = files.select(key.alias("row"), text.alias("body"), parent.alias("dir")).where(F.col("body").isNotNull() & maybe)
+    some = checkpointed(some.where(lower_ascii(F.col("body")).rlike(pattern)))
     lines = some.select("row", "dir", F.posexplode(F.split("body", "\n")).alias("line", "body")).where(lower_ascii(F.col("body")).rlike(pattern))
     # repeated rows would add up: one of each unit
     lines = lines.groupBy("row", "line").agg(F.first("body").alias("body"))
     by_line = _best(spark, lines, ["row", "line"], templates, threshold)
-    header = by_line.groupBy("row").agg(F.max(F.struct("score", (-F.col("line")).alias("l"), "license")).alias("h")).select("row", F.col("h.license").alias("h_license"), F.col("h.score").alias("h_score"))
+    header = by_line.groupBy("row").agg(F.max(F.struct("score", (-F.col("line")).alias("l"), "license")).alias("h")).select("row", F.col("h.license").alias(h_license), F.col("h.score").alias(h_score))
     header = checkpointed(header)
     # a whole text can reach the threshold without any one line doing so, but not without an anchor
     whole = _best(spark, some.groupBy("row").agg(F.first("body").alias("body")), ["row"], templates, threshold)
-    whole = checkpointed(whole.select("row", F.col("license").alias("w_license"), F.col("score").alias("w_score")))
+    whole = checkpointed(whole.select("row", F.col("license").alias(w_license), F.col("score").alias(w_score)))
     narrow = files.select(key.alias("row"), parent.alias("dir"))
-    dirs = narrow.join(whole, "row").where("dir IS NOT NULL").groupBy("dir").agg(F.max_by("w_license", F.struct("w_score", F.transform(F.split("w_license", ""), lambda c: -F.ascii(c)))).alias("d_license"))
+    dirs = narrow.join(whole, "row").where("dir IS NOT NULL").groupBy("dir").agg(F.max_by(w_license, F.struct(w_score, F.transform(F.split(w_license, ""), lambda c: -F.ascii(c)))).alias("d_license"))
     # each directory's ancestors, itself included, joined with those that have a license file; the longest is the nearest
     steps = F.split("dir", "/")
     chain = narrow.select("dir").where("dir IS NOT NULL").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("up"))
-    near = chain.join(dirs.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "d_license")).alias("near")).select(F.col("dir").alias(dir_), F.col("near.up").alias("n_dir"), F.col("near.d_license").alias("n_license"))
+    near = chain.join(dirs.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "d_license")).alias("near")).select(F.col("dir").alias(dir_), F.col("near.up").alias(n_dir), F.col("near.d_license").alias(n_license))
     own = header.join(whole, "row", "full").withColumnRenamed("row", row)
     keep = [c for c in files.columns if c.lower() not in ("license", "license_score", "license_basis", "license_dir")]
     out = files.withColumn(row, key).withColumn(dir_, parent).join(own, row, "left").join(near, dir_, "left")
-    inherits = F.col("n_license").isNotNull()
+    file, head = F.col(w_license).isNotNull(), F.col(h_license).isNotNull()
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.coalesce("w_license", "h_license", "n_license").alias("license"),
-        F.coalesce("w_score", "h_score").alias("license_score"),
-        F.when(F.col("w_license").isNotNull(), "file").when(F.col("h_license").isNotNull(), "header").when(inherits, "inherited").alias("license_basis"),
-        F.when(F.col("w_license").isNull() & F.col("h_license").isNull(), F.col("n_dir")).alias("license_dir"))
+        F.coalesce(w_license, h_license, n_license).alias("license"),
+        F.coalesce(w_score, h_score).alias("license_score"),
+        F.when(file, "file").when(head, "header").when(F.col(n_license).isNotNull(), "inherited").alias("license_basis"),
+        F.when(~file & ~head, F.col(n_dir)).alias("license_dir"))
