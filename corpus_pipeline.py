@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, quality, simhash
+from tidemark.llm import bpe, lines, mixing, nearcopies, quality
 from tidemark.llm.common import table
 from tidemark.llm.queries import TOKENIZER
 
@@ -21,8 +21,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies: five-word shingles with a similarity of 0.8 at least."""
+    return nearcopies.drop_near_copies(docs, shingle=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality_rules", keep_quality), ("line_dedup", drop_repeated_lines), ("simhash", drop_near_copies), ("mixing", mix_sources), ("bpe", encode_text)]
+STAGES = [("quality_rules", keep_quality), ("line_dedup", drop_repeated_lines), ("near_copies", drop_near_copies), ("mixing", mix_sources), ("bpe", encode_text)]
 
 #: SQL has neither the mix's draws nor BPE; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -484,6 +484,33 @@ def test_full_filter_changes_nothing(docs, monkeypatch):
     assert some(lines.dedup_lines(docs), "doc_id", "n_dropped", "kept") == want
 
 
+def test_near_copies(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    rows, want = [], set()
+    for i in range(60):
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(100, 300))]
+        rows.append((10 * i, " ".join(base)))
+        edited = list(base)
+        for at in rng.sample(range(len(base)), 1 + i % 3):
+            edited[at] = "edited"
+        rows.append((10 * i + 1, " ".join(edited)))
+    rows += [(9000, None), (9001, ""), (9002, "a b"), (9003, "A  b"), (9002, "a b")]
+    sets = [set(zip(*[words(t.translate(LOWER) if t else t)[k:] for k in range(5)], strict=False)) or {tuple(words(t.translate(LOWER) if t else t))} for _, t in rows]
+    up = list(range(len(rows)))
+    hits = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                hits += 0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) <= 0.95
+                x, y = up[a], up[b]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    want = sorted(min(rows[k][0] for k in range(len(rows)) if up[k] == r) for r in set(up))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert hits >= 20 and sorted(r.doc_id for r in cp.drop_near_copies(spark, df, "").collect()) == want
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
