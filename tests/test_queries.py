@@ -58,6 +58,12 @@ def test_runs(spark, name):
     assert df.columns and df.limit(1).count() >= 0
 
 
+def test_estimates_reach_the_last_january(spark):
+    last = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("max(year(l_shipdate)) AS y").first().y
+    dates = {r.date for r in _plain()[0]["hrp_weights"](spark, SF).select("date").distinct().collect()}
+    assert max(dates) == f"{last}-01-01"
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -152,8 +152,13 @@ _MONTHLY = """px AS (SELECT p_brand AS ticker, CAST(date_trunc('month', l_shipda
 
 
 def _monthly(t):
-    l = t.lineitem.where((F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp")))
-    return l.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker"), F.to_date(F.trunc("l_shipdate", "month")).alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+    """The months that _MONTHLY names."""
+    return _months(t).where((F.col("date") >= F.lit("1995-01-01").cast("date")) & (F.col("date") < F.lit("2000-01-01").cast("date")))
+
+
+def _months(t):
+    """Every month of the table."""
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker"), F.to_date(F.trunc("l_shipdate", "month")).alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
 
 
 @query(f"""WITH {_MONTHLY}, rets AS (SELECT ticker, date, coalesce(close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1, 0) AS r FROM px), n AS (SELECT date AS rebalance, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM px WHERE month(date) = 1),
@@ -184,7 +189,7 @@ def _estimates(t, method):
     from tidemark import portfolio
 
     w = Window.partitionBy("ticker").orderBy("date")
-    x = _monthly(t).withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).where("ret IS NOT NULL")
+    x = _months(t).withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).where("ret IS NOT NULL")
     d = x.select(F.col("date").alias("d")).distinct().where(F.month("d") == 1)
     rows = x.join(F.broadcast(d), (F.col("date") <= F.col("d")) & (F.months_between("d", "date") < 24)).select(F.col("d").alias("date"), F.round(F.months_between("d", "date")).cast("int").alias("k"), "ticker", "ret")
     return portfolio.estimate_targets(rows, method, 0.0, 0.2).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "ticker", r("weight").alias("weight"))
