@@ -484,6 +484,12 @@ def test_full_filter_changes_nothing(docs, monkeypatch):
     assert some(lines.dedup_lines(docs), "doc_id", "n_dropped", "kept") == want
 
 
+def test_near_copies_of_a_page_count_once(spark):
+    page = "<html><body><nav><a href='/'>Home</a></nav><!-- ad {0} --><script>track({0})</script><article><h1>The tide</h1><p>Water rises twice a day along this coast, as the tables say.</p></article></body></html>"
+    df = spark.createDataFrame([(k, f"http://mirror.example/{k}", page.format(k)) for k in range(7)], "page_id long, url string, html string")
+    assert {r.text for r in extraction.extract_main_text(df).collect()} == {"The tide Water rises twice a day along this coast, as the tables say."}
+
+
 def test_near_copies(spark):
     import corpus_pipeline as cp
 

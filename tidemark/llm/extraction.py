@@ -155,9 +155,8 @@ def _text_token(text: str) -> int:
     return _hash("\n" + text)
 
 
-def page_tokens(source: str | None) -> dict[int, tuple[int, int]]:
+def page_tokens(tags, blocks) -> dict[int, tuple[int, int]]:
     """Occurrences and first position of each token of a page."""
-    tags, blocks = parse(source)
     out: dict[int, tuple[int, int]] = {}
     for h, at in sorted([(_hash(t), p) for t, p in tags] + [(_text_token(b.text), b.position) for b in blocks], key=lambda x: x[1]):
         n, first = out.get(h, (0, at))
@@ -165,20 +164,27 @@ def page_tokens(source: str | None) -> dict[int, tuple[int, int]]:
     return out
 
 
+def page_key(source: str | None, blocks) -> int:
+    """Equal for copies of a page: a digest of its article, else of its text outside boilerplate, else of the html."""
+    own = [b.text for b in blocks if not b.boiler]
+    return _hash("\n".join([b.text for b in blocks if not b.boiler and b.article] or own or [source or ""]))
+
+
 def _emit(batches):
     """(host, page, token, n, first), host as a hash."""
     for pdf in batches:
         rows = []
         for host, source in zip(pdf["host"], pdf["html"], strict=True):
-            page = int(np.uint64(xxhash.xxh3_64_intdigest((source or "").encode())).view(np.int64))
-            rows += [(host, page, h, n, first) for h, (n, first) in page_tokens(source).items()]
+            tags, blocks = parse(source)
+            page = page_key(source, blocks)
+            rows += [(host, page, h, n, first) for h, (n, first) in page_tokens(tags, blocks).items()]
         yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "first"])
 
 
 def templates(pages: DataFrame, share: float = 0.9, min_pages: int = 5) -> DataFrame:
     """(host, template): for each host (a hash) its frequent tokens with their class, in order.
 
-    pages: (host, html). Copies of a page count once. A class is the tokens of one occurrence vector; the vector's digest is
+    pages: (host, html). Pages with one article text count once, whatever advert or script differs. A class is the tokens of one occurrence vector; the vector's digest is
     an exclusive or over pages, so it is put together in any order and no host is gathered. A token belongs to the template
     if its class is in `share` of the host's pages, and these are min_pages or more; a host's template is no longer than
     1 / share of a page.
