@@ -490,6 +490,14 @@ def test_near_copies_of_a_page_count_once(spark):
     assert {r.text for r in extraction.extract_main_text(df).collect()} == {"The tide Water rises twice a day along this coast, as the tables say."}
 
 
+def test_sharding_moves_texts(spark, monkeypatch):
+    seen, real = [], sharding.shard_uniform
+    monkeypatch.setattr(sharding, "shard_uniform", lambda d, **o: seen.append(d.columns) or real(d, **o))
+    rows = [(k, f"text {k}" if k % 7 else None) for k in range(50)]
+    got = sharding.shard_report(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=3).collect()
+    assert seen == [["doc_id", "text"]] and sorted((r.doc_id, r.size) for r in got) == [(k, len(t or "") + 1) for k, t in rows]
+
+
 def test_near_copies(spark):
     import corpus_pipeline as cp
 

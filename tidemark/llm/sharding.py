@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names
+from tidemark.llm.common import checkpointed, own_names, text_batches
 from tidemark.llm.hypergeom import generator, split_path
 
 #: Rows of a cell, about: what one task sorts after the exchange.
@@ -41,6 +41,7 @@ def shard_uniform(docs: DataFrame, n_shards: int = 16, seed: int = 8, cell_rows:
     columns, nulls and repeated rows are carried as they are; columns named shard and slot are replaced. An empty table
     gives no rows. Fewer rows than shards leave shards empty.
     """
+    text_batches(docs)
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     held = checkpointed(docs.select(*[F.col(f"`{c}`") for c in keep]))
     counts = dict(held.groupBy(F.spark_partition_id().alias("p")).count().collect())
@@ -72,8 +73,10 @@ def shard_uniform(docs: DataFrame, n_shards: int = 16, seed: int = 8, cell_rows:
 
 
 def shard_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: rows' law, counts at most one apart. Null texts are empty."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shard_uniform(rows, **options)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard: rows' law, counts at most one apart. Null texts are empty.
+
+    The texts themselves are sharded; size and text_crc32 are read from the rows that come out.
+    """
+    out = shard_uniform(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), **options)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
