@@ -132,14 +132,30 @@ def _map(reg):
     return {t: r["corporate_id"] for r in reg for t in r["tickers"].split(";") if t}
 
 
-def test_ids_are_stable():
-    reg, counts = companies.assign_ids(BASE, CIKS, RANKS, [], OLD)
+def _assign(spark, equities, registry, old, seed=0):
+    e = spark.createDataFrame([(t, n, i, CIKS.get(t), RANKS.get(t)) for i, (t, n) in enumerate(equities)], "ticker string, name string, place int, cik long, rank int")
+    r = spark.createDataFrame(registry, "corporate_id long, company_name string, cik long, tickers string, assigned_at string, merged_into long, status string")
+    out, changes = companies.assign_ids(e, r, spark.createDataFrame(list(old.items()), "ticker string, corporate_id long"), seed)
+    return [x.asDict() for x in out.collect()], {x.kind: x.n for x in changes.collect()}
+
+
+def test_ids_are_stable(spark):
+    reg, counts = _assign(spark, BASE, [], OLD)
     assert _map(reg) == {"AAA": 11111, "AAA.C": 11111, "BBB": 33333, "X.DE": 44444, "X2.DE": 44444} and counts == {"new": 0, "kept": 3, "merged": 1, "split": 0}
     gone = next(r for r in reg if r["corporate_id"] == 22222)
     assert gone["merged_into"] == 11111 and gone["tickers"] == ""
     for seed in range(3):
-        again, counts = companies.assign_ids(BASE, CIKS, RANKS, reg, {}, seed)
+        again, counts = _assign(spark, BASE, reg, {}, seed)
         assert _map(again) == _map(reg) and counts["new"] == counts["merged"] == 0
-    more, counts = companies.assign_ids(BASE + [(f"N{i}", f"New {i}") for i in range(200)], CIKS, RANKS, reg, {}, 1)
+    more, counts = _assign(spark, BASE + [(f"N{i}", f"New {i}") for i in range(200)], reg, {}, 1)
     new = {r["corporate_id"] for r in more} - {r["corporate_id"] for r in reg}
     assert counts["new"] == 200 and len(new) == 200 and all(10000 <= i <= 99999 for i in new)
+
+
+def test_ids_split_and_removed(spark):
+    reg, _ = _assign(spark, BASE, [], OLD)
+    out, counts = _assign(spark, [("AAA", "Alpha Inc. Class A"), ("X.DE", "Gamma AG"), ("X2.DE", "Delta AG")], reg, {})
+    ids, status = _map(out), {r["corporate_id"]: r["status"] for r in out}
+    assert counts == {"new": 1, "kept": 2, "merged": 0, "split": 1}  # the second ticker left its company
+    assert ids["X.DE"] == 44444 and ids["X2.DE"] not in (44444, *[r["corporate_id"] for r in reg])
+    assert status[33333] == "removed" and status[22222] == "merged" and "AAA.C" in next(r for r in out if r["corporate_id"] == 11111)["tickers"]

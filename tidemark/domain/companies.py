@@ -1,8 +1,5 @@
 """Companies: places, identifiers, calendars, the registry of stable ids."""
 
-import random
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,57 +93,66 @@ def ticker_map(registry: DataFrame) -> DataFrame:
     return registry.select(F.explode(F.split("tickers", ";")).alias("ticker"), "corporate_id").where("ticker <> ''")
 
 
-def company_name(name: str) -> str:
-    return re.sub(r"\s+(Class|Series)\s+[A-Z]\b.*$", "", name).strip()
+def company_name(name) -> Column:
+    """A security's name without its share class or series."""
+    return F.trim(F.regexp_replace(col(name), r"\s+(Class|Series)\s+[A-Z]\b.*$", ""))
+
+
+#: The numbers that ids are drawn from.
+ID_SPACE = (10_000, 100_000)
+
 
+def assign_ids(equities: DataFrame, registry: DataFrame, old: DataFrame, seed: int = 0, today: str = "") -> tuple[DataFrame, DataFrame]:
+    """(registry, changes) after the equities of today: stable ids of companies as a plan of joins.
 
-def assign_ids(equities: list[tuple[str, str]], ciks: dict[str, int], ranks: dict[str, int], registry: list[dict], old: dict[str, int], seed: int = 0, today: str = "") -> tuple[list[dict], dict[str, int]]:
-    """Stable ids of companies: a pure, sequential step over a registry of at most some 100,000 rows, run on the driver.
+    equities: ticker, name, place (its order in the list), cik, rank. registry: corporate_id, company_name, cik, tickers (with
+    semicolons), assigned_at, merged_into, status. old: ticker, corporate_id. changes: kind (new, kept, merged, split), n.
 
-    Tickers of one CIK, or of one name without a CIK, are a company. An id once given stays; of several ids the primary
-    ticker's wins and the others are merged into it; a ticker that leaves a company gets a new one; retired ids are not used
-    again. registry rows: corporate_id, company_name, cik, tickers, assigned_at, merged_into, status.
+    Tickers of one CIK, or of one name without a CIK, are a company. A ticker claims the id that it is registered or was once
+    known under. An id belongs to the company of its first listed ticker that is still there, else to the best claim; claims
+    by others are splits. A company keeps the id of its leading ticker, and its other ids are merged into that one. Companies
+    without an id get one that was never used. Ids are fewer than the id space, so numbering is over a bounded table.
     """
-    rng, name = random.Random(seed), dict(equities)
-    place = {t: i for i, (t, _) in enumerate(equities)}
-    groups: dict[tuple, list[str]] = {}
-    for t, n in equities:
-        groups.setdefault(("cik", ciks[t]) if t in ciks else ("name", n.strip()), []).append(t)
-    home = {t: key for key, ts in groups.items() for t in ts}
-    out = {r["corporate_id"]: dict(r) for r in registry}
-    held = {t: r["corporate_id"] for r in registry if r["status"] != "reassigned" for t in (r["tickers"] or "").split(";") if t}
-    owner = {}
-    for r in registry:
-        lead = next((t for t in (r["tickers"] or "").split(";") if t in home), None)
-        if lead:
-            owner[r["corporate_id"]] = home[lead]
-    used, counts = set(out) | set(old.values()), {"new": 0, "kept": 0, "merged": 0, "split": 0}
-    for key, ts in groups.items():
-        ts = sorted(ts, key=lambda t: ("Class A" not in name[t], ranks.get(t, 10**9), place[t]))
-        ids: list[int] = []
-        for t in ts:
-            i = held.get(t, old.get(t))
-            if i is None or i in ids:
-                continue
-            if owner.get(i, key) != key:
-                counts["split"] += 1
-            else:
-                ids.append(i)
-        if ids:
-            main, counts["kept"] = ids[0], counts["kept"] + 1
-        else:
-            main = next(i for i in iter(lambda: rng.randint(10000, 99999), None) if i not in used)
-            counts["new"] += 1
-        used.add(main)
-        for other in ids[1:]:
-            row = out.setdefault(other, {"corporate_id": other, "company_name": name[next(t for t in ts if held.get(t, old.get(t)) == other)], "cik": None, "assigned_at": today})
-            row.update(tickers="", merged_into=main, status="merged")
-            counts["merged"] += 1
-        was = out.get(main, {})
-        gone = [t for t in (was.get("tickers") or "").split(";") if t and t not in name]
-        out[main] = {"corporate_id": main, "company_name": company_name(name[ts[0]]), "cik": key[1] if key[0] == "cik" else was.get("cik"), "tickers": ";".join(dict.fromkeys(ts + gone)),
-                     "assigned_at": was.get("assigned_at") or today, "merged_into": None, "status": "active"}
-    for r in out.values():
-        if r["status"] not in ("merged", "reassigned") and not any(t in name for t in (r["tickers"] or "").split(";")):
-            r["status"] = "removed"
-    return list(out.values()), counts
+    once = F.struct((~F.col("name").contains("Class A")).alias("other_class"), F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), "place")
+    firm = F.coalesce(F.concat(F.lit("cik "), F.col("cik").cast("string")), F.concat(F.lit("name "), F.trim("name")))
+    members = equities.select("ticker", "name", "cik", firm.alias("firm"), once.alias("turn"))
+
+    listed = registry.select("corporate_id", "status", F.posexplode(F.split(F.coalesce("tickers", F.lit("")), ";")).alias("at", "ticker")).where("ticker <> ''")
+    registered = listed.where("status <> 'reassigned'").groupBy("ticker").agg(F.max("corporate_id").alias("now"))
+    known = old.groupBy("ticker").agg(F.max("corporate_id").alias("then"))
+    claims = members.join(registered, "ticker", "left").join(known, "ticker", "left").withColumn("id", F.coalesce("now", "then")).where("id IS NOT NULL")
+    by_listing = listed.join(members, "ticker").groupBy(F.col("corporate_id").alias("id")).agg(F.min_by("firm", "at").alias("listed_firm"))
+    by_claim = claims.groupBy("id").agg(F.min_by("firm", "turn").alias("claim_firm"))
+    judged = claims.join(by_listing, "id", "left").join(by_claim, "id").withColumn("mine", F.col("firm") == F.coalesce("listed_firm", "claim_firm"))
+
+    ids = judged.where("mine").groupBy("firm", "id").agg(F.min("turn").alias("turn"), F.min_by("name", "turn").alias("claim_name"))
+    mains = ids.groupBy("firm").agg(F.min_by("id", "turn").alias("main"))
+    firms = members.groupBy("firm").agg(F.first("cik").alias("cik"), F.min("turn").alias("turn"), F.sort_array(F.collect_list(F.struct("turn", "ticker", "name"))).alias("members"))
+    firms = firms.join(mains, "firm", "left")
+
+    used = registry.select("corporate_id").union(old.select("corporate_id"))
+    free = equities.sparkSession.range(*ID_SPACE).withColumnRenamed("id", "corporate_id").join(used, "corporate_id", "left_anti")
+    free = free.withColumn("nth", F.row_number().over(Window.orderBy(F.xxhash64("corporate_id", F.lit(seed)), "corporate_id")))
+    fresh = firms.where("main IS NULL").withColumn("nth", F.row_number().over(Window.orderBy("turn")))
+    numbered = fresh.join(free, "nth", "left").select("firm", F.coalesce("corporate_id", F.raise_error(F.lit("no free ids are left"))).alias("drawn"))
+    firms = firms.join(numbered, "firm", "left").withColumn("corporate_id", F.coalesce("main", "drawn").cast("long"))
+
+    before = registry.select("corporate_id", F.col("cik").alias("cik_before"), "assigned_at", F.split(F.coalesce("tickers", F.lit("")), ";").alias("tickers_before"))
+    present = members.agg(F.collect_set("ticker").alias("present"))  # one row; the list of equities is smaller than the id space
+    current = firms.join(before, "corporate_id", "left").crossJoin(F.broadcast(present))
+    gone = F.filter(F.array_except(F.coalesce("tickers_before", F.array().cast("array<string>")), "present"), lambda x: x != "")
+    active = current.select("corporate_id", company_name(F.col("members")[0]["name"]).alias("company_name"), F.coalesce("cik", "cik_before").alias("cik"), F.array_join(F.array_distinct(F.concat(F.transform("members", lambda m: m["ticker"]), gone)), ";").alias("tickers"),
+                            F.coalesce("assigned_at", F.lit(today)).alias("assigned_at"), F.lit(None).cast("long").alias("merged_into"), F.lit("active").alias("status"))
+
+    losers = ids.join(mains, "firm").where("id <> main").select(F.col("id").alias("corporate_id"), "main", "claim_name")
+    held = registry.select("corporate_id", F.col("company_name").alias("name_before"), F.col("cik").alias("cik_before"), F.col("assigned_at").alias("date_before"))
+    merged = losers.join(held, "corporate_id", "left").select("corporate_id", F.coalesce("name_before", "claim_name").alias("company_name"), F.col("cik_before").alias("cik"), F.lit("").alias("tickers"),
+                                                              F.coalesce("date_before", F.lit(today)).alias("assigned_at"), F.col("main").cast("long").alias("merged_into"), F.lit("merged").alias("status"))
+    moved = active.select("corporate_id").union(merged.select("corporate_id"))
+    rest = registry.join(moved, "corporate_id", "left_anti").crossJoin(F.broadcast(present))
+    lost = ~F.col("status").isin("merged", "reassigned") & ~F.arrays_overlap(F.split(F.coalesce("tickers", F.lit("")), ";"), F.col("present"))
+    rest = rest.withColumn("status", F.when(lost, "removed").otherwise(F.col("status"))).select(*active.columns)
+
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    changes = count(firms.where("main IS NULL"), "new").union(count(mains, "kept")).union(count(losers, "merged")).union(count(judged.where("NOT mine"), "split"))
+    return active.unionByName(merged).unionByName(rest), changes
