@@ -89,6 +89,12 @@ def test_cascade_order_and_verdict(docs, nothing):
     slow = quality.Rule("slow", lambda m: sum(i for i in range(20000)) < 0)
     cheap = quality.Rule("cheap", lambda m: seen.append(1) or True)
     assert [r.name for r in quality.order_rules(["a"] * 50, (slow, cheap))] == ["cheap", "slow"]
+    # what matters is what a rule rejects after those before it, and what it costs with their measures at hand
+    both = quality.Rule("both", lambda m: m.text < "c")
+    late = quality.Rule("late", lambda m: m.text < "b" or sum(range(300)) < 0)
+    other = quality.Rule("other", lambda m: m.text > "y" or sum(range(600)) < 0)
+    assert [r.name for r in quality.order_rules(["a"] * 400 + ["b"] * 100 + ["m"] * 200 + ["z"] * 90, (late, other, both))] == ["both", "other", "late"]
+    assert quality.order_rules([], quality.RULES) and quality.sample_texts(docs, "text", 10**6, 10**6).__len__() == len(corpus())
     out = quality.quality_cascade(docs.withColumn("kept", F.lit("clash")))
     assert out.columns == ["doc_id", "text", "source", "shard", "kept", "rejected_by"]
     report = {r.doc_id: r.kept for r in quality.quality_report(docs).collect() if r.doc_id is not None}
@@ -131,6 +137,40 @@ def test_mix(docs, nothing, spark):
     assert mixing.mix_report(nothing).count() == 0
     table = mixing.mix_table(docs, n_shards=4)
     assert table.count() == sum(len([x for x in r.shards.split(",") if x]) for r in mixing.mix_report(docs, n_shards=4).collect())
+    texts = Counter((r.doc_id, r.text) for r in table.collect())
+    times = Counter((i, t) for i, t, *_ in rows)
+    assert all(n % times[k] == 0 and n <= 3 * times[k] for k, n in texts.items())
+
+
+def test_mix_against_brute_force(spark):
+    """The plan from counts by hand, and where each copy comes out: in its block's shards, in random order, copies apart."""
+    rng = random.Random(33)
+    rows = [(i, " ".join("w" * 3 for _ in range(rng.randint(1, 60))), rng.choice(["a", "b", "c", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    report = {r.doc_id: r for r in mixing.mix_report(df, n_shards=3).collect()}
+    size = {s: sum(len(words(t)) for _, t, z in rows if z == s) for s in ("a", "b", "c", None)}
+    goal = dict(zip(size, mixing.targets(list(size.values()), [5, 2, 1, 5]), strict=True))
+    for s in size:
+        got = sum(report[i].taken for i, _, z in rows if z == s)
+        assert abs(got - goal[s]) <= 2  # by brute force over block exchanges nothing is further off than a word or two here
+    out = [(r.mix_shard, r.doc_id) for r in mixing.mix_table(df, n_shards=3).collect()]
+    want = Counter((int(x), i) for i, r in report.items() for x in r.shards.split(",") if x)
+    assert Counter(out) == want and [s for s, _ in out] == sorted(s for s, _ in out)
+    twice = [k for k, n in want.items() if n > 1]
+    assert not twice or sum(a == b for a, b in zip(out, out[1:], strict=False)) < len(twice) / 2
+    parts = mixing.mix_table(df, n_shards=3).select(F.spark_partition_id().alias("p"), "mix_shard").distinct().count()
+    assert parts == 3
+
+
+def test_choose_blocks():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 40, 256):
+        sizes = rng.integers(0, 1000, n)
+        for share in (0.1, 0.5, 0.9):
+            need = share * sizes.sum()
+            at = mixing.choose_blocks(sizes, need, rng)
+            off = abs(sizes[at].sum() - need)
+            assert len(set(at)) == len(at) and off <= max(sizes) / 2 and (n < 40 or off <= 5)
 
 
 def test_hypergeometric_trees():
@@ -458,8 +498,8 @@ def test_lm(docs, nothing, monkeypatch):
 
 
 # lines ---------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("max_bits", [1 << 30, 1 << 20])
-def test_lines(docs, nothing, max_bits):
+@pytest.mark.parametrize(("max_bits", "per_line"), [(1 << 30, 32), (1 << 20, 32), (1 << 20, 8192)])
+def test_lines(docs, nothing, max_bits, per_line):
     rows = corpus()
     key = lambda x: x.strip(SPACE).translate(LOWER)
     holders = defaultdict(list)
@@ -473,7 +513,7 @@ def test_lines(docs, nothing, max_bits):
         ls = (t or "").split("\n")
         stay = [x for x in ls if key(x) not in drop or drop[key(x)] == i]
         want.append((i, len(ls), len(ls) - len(stay), "\n".join(stay)))
-    assert drop and some(lines.dedup_lines(docs, max_bits=max_bits), "doc_id", "n_lines", "n_dropped", "kept") == sorted(want, key=str)
+    assert drop and some(lines.dedup_lines(docs, max_bits=max_bits, bits_per_line=per_line), "doc_id", "n_lines", "n_dropped", "kept") == sorted(want, key=str)
     assert lines.dedup_lines(nothing).count() == 0
 
 

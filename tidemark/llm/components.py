@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import forget, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -11,9 +11,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round points every larger neighbour of a node at the node's smallest neighbour, then every node and its smaller
     neighbours at the smallest of these. Rounds go down as the logarithm of the number of nodes. Minima are combined
-    before they are shuffled, and what is joined back is one row a node, so a hub is a skewed join that Spark can split.
+    before they are shuffled, and what is joined back is one row a node, so a hub is a skewed join that Spark can split. Each round is a written table, removed
+    after the next.
     """
-    links = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -21,7 +22,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
-        links = checkpointed(small)
+        old = path
+        links, path = written(small)
+        forget(edges.sparkSession, old)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

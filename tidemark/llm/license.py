@@ -12,7 +12,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, lower_ascii, own_names
+from tidemark.llm.common import checkpointed, lower_ascii, own_names, row_key
 
 #: Short notices of public licenses, one or more for each SPDX name.
 TEMPLATES = (
@@ -107,7 +107,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     spark = files.sparkSession
     row, dir_, h_license, h_score, w_license, w_score, n_dir, n_license = own_names(files, "row_key", "parent_dir", "h_license", "h_score", "w_license", "w_score", "n_dir", "n_license")
     text, path = F.col(f"`{text_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")
-    key = F.xxhash64(path, text)
+    key = row_key(path, text)
     parent = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
     _, _, vectors = weights(templates)
     keep_terms = sorted(anchors(vectors, threshold, term_frequency(files, text_col, {t for _, v in vectors for t in v}, sample_rows)))

@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of their word shingles, at least `least`, checked exactly.
 
-MinHash bands only propose pairs: 24 bands of 4 minima miss a pair of similarity 0.8 with a chance of 3 in a million, and
-less above. Each class of equal texts is first checked against the leaders of its buckets, in two orders; then all pairs
-of a bucket whose classes are not joined yet and whose sizes allow the similarity are checked, none left out. A 64-bit
-SimHash can't carry this: pairs at 0.8 differ in ten bits on average, and often in more than fifteen.
+SimHash ball hashing (operator 4) links what its radius reaches; each of its links is checked before it counts. Its radius
+doesn't reach all similar pairs: at a similarity of 0.8 the 64-bit fingerprints differ in ten bits on average, and the balls
+of that radius are too large to emit. So bands of minima propose further pairs: 24 bands of 4 minima miss a pair of
+similarity 0.8 with a chance of 3 in a million, and less above. Each class of equal texts is checked against the leaders of
+its buckets, in new orders until an order finds nothing; then all pairs of a bucket whose classes are not joined yet, whose
+sizes allow the similarity and whose fingerprints don't rule it out are checked, none left out.
 """
 
 import numpy as np
@@ -12,34 +14,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names, text_batches
+from tidemark.llm.common import checkpointed, own_names, row_key
 from tidemark.llm.components import components
+from tidemark.llm.simhash import link_fingerprints, majority, shingle_hashes
 
 BANDS, ROWS = 24, 4
+#: Fingerprints of texts at a similarity of 0.8 differ in 9.7 bits of 64 on average (2.9 standard deviation); more than this many,
+#: which has a chance below one in a hundred million there, rules it out. Unlike texts differ in 32.
+MAX_BITS_APART = 28
+#: Orders of leaders tried at most before all pairs that are left are checked.
+LEADER_ROUNDS = 6
 _RNG = np.random.Generator(np.random.PCG64(5))
 _MUL = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct XXH64 of all shingles of the text's words, A-Z in lower case; of a shorter text as a whole."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    if n == 1:
-        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-    h, view = xxhash.xxh64_intdigest, memoryview(joined)
-    return np.unique(np.fromiter((h(view[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), dtype=np.uint64, count=n))
-
-
 def signature(text: str | None, shingle: int) -> np.ndarray:
-    """Class of equal shingle sets, their size, and a key for each band; no bands without words."""
-    s = shingles(text, shingle)
-    head = [xxhash.xxh64_intdigest(s.tobytes(), 7), len(s)]
+    """Class of equal shingle sets, their size, their fingerprint, and a key for each band; no bands without words."""
+    s = np.unique(shingle_hashes(text, shingle))
+    head = [xxhash.xxh64_intdigest(s.tobytes(), 7), len(s), majority(s) if len(s) else 0]
     if not len(s):
         return np.array(head, dtype=np.uint64).view(np.int64)
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -50,14 +43,13 @@ def signature(text: str | None, shingle: int) -> np.ndarray:
 
 
 def similar(a: str | None, b: str | None, shingle: int, least: float) -> bool:
-    x, y = shingles(a, shingle), shingles(b, shingle)
+    x, y = np.unique(shingle_hashes(a, shingle)), np.unique(shingle_hashes(b, shingle))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both >= least * (len(x) + len(y) - both)
 
 
 def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, row, cls) of every row of docs, and (a, b), links of classes that join the same components as all similar pairs."""
-    text_batches(docs)
 
     @F.pandas_udf("array<long>")
     def sign(texts: pd.Series) -> pd.Series:
@@ -68,35 +60,45 @@ def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str,
         return pd.Series([similar(x, y, shingle, least) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    named = docs.select(key.alias("id"), F.xxhash64(key, text).alias("row"), text.alias("text"))
+    named = docs.select(key.alias("id"), row_key(key, text).alias("row"), text.alias("text"))
     rows = checkpointed(named.select("id", "row", sign("text").alias("sig")).withColumn("cls", F.col("sig")[0]))
-    sets = rows.groupBy("cls").agg(F.min("row").alias("row"), F.min("sig").alias("sig"))
-    keyed = sets.select("cls", "row", F.col("sig")[1].alias("n"), F.explode(F.slice("sig", 3, BANDS)).alias("band"))
-    size = F.count("*").over(Window.partitionBy("band"))
-    met = checkpointed(keyed.withColumn("m", size).where("m > 1").drop("m"))
-    texts = checkpointed(named.join(met.select("row", "cls").distinct(), "row").select("cls", "text").dropDuplicates(["cls"]))
+    sets = checkpointed(rows.groupBy("cls").agg(F.min("row").alias("row"), F.min("sig").alias("sig")))
+    sets = sets.select("cls", "row", F.col("sig")[1].alias("n"), F.col("sig")[2].alias("fp"), F.slice("sig", 4, BANDS).alias("bands")).where("n > 0")
+
+    # the ball hash: classes of one fingerprint with the first of them, and first ones of linked fingerprints
+    firsts = checkpointed(sets.groupBy("fp").agg(F.min("cls").alias("first")))
+    first = lambda name: firsts.select(F.col("fp").alias(f"{name}_fp"), F.col("first").alias(name))
+    balls = link_fingerprints(firsts).toDF("a_fp", "b_fp").join(first("a"), "a_fp").join(first("b"), "b_fp").select("a", "b")
+    same = sets.join(firsts, "fp").where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
+    balls = checkpointed(balls.union(same))
+
+    keyed = sets.select("cls", "row", "n", "fp", F.explode("bands").alias("band"))
+    met = checkpointed(keyed.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1").drop("m"))
+    wanted = met.select("cls").union(balls.select("a")).union(balls.select("b")).distinct()
+    texts = sets.join(wanted, "cls", "left_semi").select("cls", "row").join(named.select("row", "text"), "row").select("cls", "text").dropDuplicates(["cls"])
+    texts = checkpointed(texts)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ta, tb = texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), texts.select(F.col("cls").alias("b"), F.col("text").alias("y"))
         return checkpointed(pairs.join(ta, "a").join(tb, "b").where(check("x", "y")).select("a", "b"))
 
-    def rooted(links: DataFrame | None) -> DataFrame:
-        if links is None:
-            return met.withColumn("root", F.col("cls"))
-        return met.join(components(links), F.col("cls") == F.col("node"), "left").select("cls", "n", "band", F.coalesce("root", "cls").alias("root"))
-
-    fits = f"least(n, n2) >= {least} * greatest(n, n2)"
-    links = None
-    for k in range(2):
-        lead = F.min(F.struct(F.xxhash64("cls", F.lit(k)), F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))).over(Window.partitionBy("band"))
-        led = rooted(links).withColumn("lead", lead).select("cls", "n", "root", "lead.b", "lead.n2", "lead.root2")
-        new = verified(led.where(f"root <> root2 and {fits}").select(F.col("cls").alias("a"), "b").distinct())
-        links = new if links is None else links.unionByName(new)
+    def rooted(links: DataFrame) -> DataFrame:
+        return met.join(components(links), F.col("cls") == F.col("node"), "left").select("cls", "n", "fp", "band", F.coalesce("root", "cls").alias("root"))
+
+    fits = f"root <> root2 and least(n, n2) >= {least} * greatest(n, n2) and bit_count(fp ^ fp2) <= {MAX_BITS_APART}"
+    links = verified(balls.distinct())
+    for k in range(LEADER_ROUNDS):
+        lead = F.min(F.struct(F.xxhash64("cls", F.lit(k)), F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))).over(Window.partitionBy("band"))
+        led = rooted(links).withColumn("lead", lead).select("cls", "n", "fp", "root", "lead.b", "lead.n2", "lead.fp2", "lead.root2")
+        new = verified(led.where(fits).select(F.col("cls").alias("a"), "b").distinct())
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
     left = rooted(links)
     apart = left.withColumn("lo", F.min("root").over(Window.partitionBy("band"))).withColumn("hi", F.max("root").over(Window.partitionBy("band"))).where("lo <> hi").drop("lo", "hi")
     apart = checkpointed(apart)
-    other = apart.select("band", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = apart.join(other, "band").where(f"cls < b and root <> root2 and {fits}").select(F.col("cls").alias("a"), "b").distinct()
+    other = apart.select("band", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    rest = apart.join(other, "band").where(f"cls < b and {fits}").select(F.col("cls").alias("a"), "b").distinct()
     return rows.select("id", "row", "cls"), links.unionByName(verified(rest))
 
 
@@ -114,7 +116,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_c
     copies = near.join(best, ["root", "row"]).groupBy("row").agg(F.count("*").alias("n"))
     row, n = own_names(docs, "row_key", "row_copies")
     best = copies.select(F.col("row").alias(row), F.col("n").alias(n))
-    keyed = docs.withColumn(row, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
+    keyed = docs.withColumn(row, row_key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     once = keyed.join(best.where(F.col(n) == 1), row, "left_semi").select(*cols)
     more = keyed.join(best.where(F.col(n) > 1), row, "left_semi").dropDuplicates([row]).select(*cols)

@@ -1,19 +1,22 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (seconds a text) and rejection rate are measured on a sample; rules then run in falling order of
-rejections per second, and a text is not looked at again after its first failure.
+On a sample, each rule's rejections and its cost are measured among the texts that the rules before it let through, with
+what these have measured already at hand; the rule with most rejections a second comes next. A text is not looked at
+again after its first failure.
 """
 
+import copy
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_names, text_batches
+from tidemark.llm.common import own_names
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -24,32 +27,27 @@ class Measured:
 
     def __init__(self, text: str | None):
         self.text = text or ""
-        self._words = self._repeat = None
 
-    @property
+    @cached_property
     def words(self) -> list[bytes]:
-        if self._words is None:
-            self._words = self.text.encode().split()
-        return self._words
+        return self.text.encode().split()
 
-    @property
+    @cached_property
     def word_chars(self) -> int:
         return len(self.text) - sum(map(self.text.count, " \t\n\x0b\f\r"))
 
-    @property
+    @cached_property
     def symbols(self) -> int:
         return sum(map(self.text.count, SYMBOLS))
 
-    @property
+    @cached_property
     def dup_lines(self) -> int:
         lines = [x for x in self.text.split("\n") if x.strip(" \t\n\x0b\f\r")]
         return len(lines) - len(set(lines))
 
-    @property
+    @cached_property
     def repeat_words(self) -> int:
-        if self._repeat is None:
-            self._repeat = repeated_words(self.words)
-        return self._repeat
+        return repeated_words(self.words)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -102,21 +100,30 @@ RULES = (
 
 
 def order_rules(sample: list[str | None], rules: tuple[Rule, ...]) -> list[Rule]:
-    """Rules by rejections a second on the sample, most first; ties keep the given order."""
-    rank = {}
-    for rule in rules:
-        texts = [Measured(t) for t in sample]
-        began = time.perf_counter()
-        rejected = sum(bool(rule.rejects(m)) for m in texts)
-        cost = time.perf_counter() - began
-        rank[rule.name] = (rejected + 0.5) / (len(sample) + 1) / max(cost, 1e-9)
-    return sorted(rules, key=lambda r: -rank[r.name])
+    """The cascade: rule after rule by rejections a second among the texts that are left; ties keep the given order.
+
+    A rule's cost is what it adds: measures that earlier rules made are at hand.
+    """
+    left, rest, out = [Measured(t) for t in sample], list(rules), []
+    while rest:
+        worth = []
+        for rule in rest:
+            texts = [copy.copy(m) for m in left]
+            began = time.perf_counter()
+            rejected = sum(bool(rule.rejects(m)) for m in texts)
+            worth.append((rejected + 0.5) / (len(texts) + 1) / max(time.perf_counter() - began, 1e-9))
+        best = rest.pop(max(range(len(worth)), key=lambda k: (worth[k], -k)))
+        out.append(best)
+        left = [m for m in left if not best.rejects(m)]
+    return out
 
 
 def sample_texts(docs: DataFrame, text_col: str, sample_rows: int, max_bytes: int) -> list[str | None]:
-    """At most sample_rows rows of at most max_bytes each, spread over the table. They order the rules and decide nothing."""
-    t = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= max_bytes)
-    return [r.t for r in t.where(F.abs(F.xxhash64("t")) % 64 == 0).limit(sample_rows).collect()] or [r.t for r in t.limit(sample_rows).collect()]
+    """About sample_rows rows from all parts of the table, those over max_bytes left out. They order the rules and decide nothing."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    t = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
+    t = t.sample(share, seed=1) if share < 1 else t
+    return [r.t for r in t.where(F.coalesce(F.octet_length("t"), F.lit(0)) <= max_bytes).collect()]
 
 
 def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, text_col: str = "text", sample_rows: int = 500, sample_bytes: int = 20_000) -> DataFrame:
@@ -125,7 +132,6 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, tex
     kept doesn't depend on the order; rejected_by does, and the order on measured times. A null text is an empty one.
     Columns of docs named like the results are replaced.
     """
-    text_batches(docs)
     ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_bytes), rules)
 
     @F.pandas_udf("string")
@@ -145,20 +151,22 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, tex
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 500, sample_bytes: int = 20_000) -> DataFrame:
     """The base measures of every text, the base test, and the cascade's verdict.
 
-    The base measures are needed for every row, so the cascade runs after them on the same measured text and reuses them.
+    The base measures are returned for every row whatever fails, so the base test is read from them and only the further rules
+    run as a cascade, on texts that pass it, with these measures at hand; quality_cascade() has the base rules in its cascade.
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. A null text has none.
+    Repeated rows give a row each; an empty table gives none.
     """
-    text_batches(docs)
-    ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_bytes), BASE + RULES)
+    passed = [t for t in sample_texts(docs, text_col, sample_rows, sample_bytes) if not any(r.rejects(Measured(t)) for r in BASE)]
+    ordered = order_rules(passed, RULES)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
     def measure(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             m = Measured(text)
-            kept = not any(r.rejects(m) for r in ordered)
+            row = (len(m.words), m.word_chars, m.symbols, m.dup_lines, m.repeat_words)
             base = any(r.rejects(m) for r in BASE)
-            out.append((len(m.words), m.word_chars, m.symbols, m.dup_lines, m.repeat_words, base, kept))
+            out.append((*row, base, not base and not any(r.rejects(m) for r in ordered)))
         return pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), measure(F.col(f"`{text_col}`").cast("string")).alias("m"))

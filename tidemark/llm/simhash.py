@@ -15,27 +15,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names, shuffle_partitions, text_batches
+from tidemark.llm.common import checkpointed, own_names, row_key, shuffle_partitions
 from tidemark.llm.components import components
 
 BITS = 64
 _LOW = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Majority bits of the XXH64 (seed 42) of all shingles of the text's words, A-Z in lower case; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles of the text's words, A-Z in lower case, repeats included; of a shorter text as a whole."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     if n == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-        h, view = xxhash.xxh64_intdigest, memoryview(joined)
-        hashes = np.fromiter((h(view[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), dtype=np.uint64, count=n)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
+    h, view = xxhash.xxh64_intdigest, memoryview(joined)
+    return np.fromiter((h(view[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes; 0 for none."""
+    n = len(hashes)
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 255 * 64):  # byte lanes hold 255 ones at most
         block = hashes[at : at + 255 * 64]
@@ -48,6 +52,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(sum(1 << int(k) for k in np.flatnonzero(bits)))
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Majority bits of the shingles' hashes; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def masks(bits: int, radius: int) -> np.ndarray:
     """All masks of at most radius of the lowest `bits` bits."""
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)], dtype=np.uint64)
@@ -172,13 +181,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     there is none). Equal fingerprints are one class before any link is made, so copies cost nothing. row is a digest of id
     and text, equal for repeated rows. An empty table gives empty ones.
     """
-    text_batches(docs)
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    fps = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), simhash(F.col(f"`{text_col}`").cast("string")).alias("fp"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).alias("row"))
+    fps = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), simhash(F.col(f"`{text_col}`").cast("string")).alias("fp"), row_key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).alias("row"))
     fps = checkpointed(fps)
     classes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(link_fingerprints(classes, radius))
@@ -204,7 +212,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     copies = keep.groupBy("row", "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.count("*").alias("n"))
     best = copies.groupBy("component_id", "own").agg(F.min(F.struct("row", "n")).alias("best"))
     best = best.select(F.col("best.row").alias(row), F.col("best.n").alias(n))
-    keyed = docs.withColumn(row, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
+    keyed = docs.withColumn(row, row_key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     once = keyed.join(best.where(F.col(n) == 1), row, "left_semi").select(*cols)
     more = keyed.join(best.where(F.col(n) > 1), row, "left_semi").dropDuplicates([row]).select(*cols)
