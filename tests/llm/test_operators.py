@@ -453,50 +453,84 @@ def test_elias_fano():
 
 def test_trie():
     rng = np.random.default_rng(10)
-    w = np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
-    pairs = sorted({(int(rng.integers(len(w))), int(c)) for c in rng.integers(0, 1 << 63, 300, dtype=np.uint64)})
-    parent, context = np.array([p for p, _ in pairs]), np.array([c for _, c in pairs], dtype=np.uint64)
-    t = eliasfano.Trie(w, np.arange(1, len(w) + 1), rng.normal(size=len(w)), rng.normal(size=len(w)), parent, context, rng.normal(size=len(pairs)))
-    assert (t.find_words(w) == np.arange(len(w))).all() and t.find_words(np.array([1, (1 << 64) - 1], dtype=np.uint64)).tolist() == [-1, -1]
-    assert (t.count(np.arange(len(w))) == np.arange(1, len(w) + 1)).all()
-    assert (t.find_pairs(parent, context) == np.arange(len(pairs))).all()
-    assert (t.find_pairs((parent + 1) % len(w), context) == -1).all() and t.bytes < 16 * len(pairs) + 4000
+    grams = np.unique(rng.choice(rng.integers(0, 1 << 63, 12, dtype=np.uint64), (400, 3)), axis=0)
+    words, at1 = np.unique(grams[:, 0], return_inverse=True)
+    two = np.unique(np.stack([at1.astype(np.uint64), grams[:, 1]], 1), axis=0)
+    at2 = np.array([next(i for i, t in enumerate(two) if t[0] == p and t[1] == c) for p, c in zip(at1, grams[:, 1], strict=True)])
+    three = np.unique(np.stack([at2.astype(np.uint64), grams[:, 2]], 1), axis=0)
+    levels = [(two[:, 0].astype(np.int64), two[:, 1]), (three[:, 0].astype(np.int64), three[:, 1])]
+    values = [[rng.normal(size=len(x))] for x in (words, two, three)]
+    t = eliasfano.Trie(words, levels, values)
+    assert (t.find_words(words) == np.arange(len(words))).all() and t.find_words(np.array([1, (1 << 64) - 1], dtype=np.uint64)).tolist() == [-1, -1]
+    for k, (parents, contexts) in enumerate(levels, 1):
+        assert (t.find_children(k, parents, contexts) == np.arange(len(parents))).all()
+        there = {*zip(parents.tolist(), contexts.tolist(), strict=True)}
+        ask = [(int(p), int(c)) for p in range(parents.max() + 1) for c in grams[:20].ravel()]
+        got = t.find_children(k, np.array([p for p, _ in ask]), np.array([c for _, c in ask], dtype=np.uint64))
+        assert [g >= 0 for g in got] == [a in there for a in ask]
+        assert np.abs(t.value(k + 1, 0, np.arange(len(parents))) - values[k][0]).max() < 1e-3
+    assert (t.find_children(1, np.zeros(1, np.int64), np.array([3], dtype=np.uint64)) == -1).all()
     t.close()
 
 
-def test_lm(docs, nothing, monkeypatch):
+@pytest.mark.parametrize("weights", [lm.WEIGHTS, (1.0,), (2.0, 40.0)])
+def test_lm(docs, nothing, monkeypatch, weights):
     monkeypatch.setattr(lm, "PARTS", 6)
-    rows = [(i, (t or "").translate(LOWER).encode().split()) for i, t, *_ in corpus()]
+    monkeypatch.setattr(lm, "ROUND_TOKENS", 900)
+    rows, order = [(i, (t or "").translate(LOWER).encode().split()) for i, t, *_ in corpus()], len(weights) + 1
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
-    c, pair, n_docs = Counter(), Counter(), 0
+    grams, n_docs = Counter(), 0
     for i, ws in rows:
         if not held(i):
             n_docs += 1
-            for v, w in zip([b"<s>", *ws], [*ws, b"</s>"], strict=True):
-                c[w] += 1
-                pair[v, w] += 1
+            seq = [b"<s>"] * (order - 1) + [*ws, b"</s>"]
+            for at in range(order - 1, len(seq)):
+                for k in range(order):
+                    grams[tuple(seq[at - k : at + 1])] += 1
+    c = {g[0]: x for g, x in grams.items() if len(g) == 1}
     n, types = sum(c.values()), len(c)
     ones, twos = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     d = ones / (ones + 2 * twos) if ones and twos else 0.5
-    p = lambda w: (c[w] - d) / n if c[w] else d * types / n
+    p = lambda w: (c[w] - d) / n if w in c else d * types / n
+    ctx = lambda h: n_docs if set(h) == {b"<s>"} else grams[h]
+
+    def prob(h, w):
+        num = sum(a * grams[(*h[-k:], w)] for k, a in enumerate(weights, 1)) + lm.BASE_WEIGHT * p(w)
+        return num / (sum(a * ctx(h[-k:]) for k, a in enumerate(weights, 1)) + lm.BASE_WEIGHT)
+
     want = {}
     for i, ws in rows:
         toks = [*ws, b"</s>"]
-        base = sum(np.log10((c[w] + 0.5) / (n + 0.5 * (types + 1))) for w in toks)
-        score = sum(np.log10((pair[v, w] + lm.STRENGTH * p(w)) / ((n_docs if v == b"<s>" else c[v]) + lm.STRENGTH)) for v, w in zip([b"<s>", *ws], toks, strict=True))
-        want[i, len(toks)] = (held(i), sum(c[w] > 0 for w in toks), n, base, score)
-    got = lm.lm_scores(docs).collect()
+        seq = [b"<s>"] * (order - 1) + toks
+        base = sum(np.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (types + 1))) for w in toks)
+        score = sum(np.log10(prob(tuple(seq[at - order + 1 : at]), seq[at])) for at in range(order - 1, len(seq)))
+        want[i, len(toks)] = (held(i), sum(w in c for w in toks), n, base, score)
+    got = lm.lm_scores(docs, weights=weights).collect()
     assert len(got) == len(rows)
     for r in got:
         h, known, total, base, score = want[r.doc_id, r.n_tokens]
         assert (r.held_out, r.n_known, r.train_tokens) == (h, known, total) and r.base_score == pytest.approx(base, abs=1e-8) and r.score == pytest.approx(score, abs=2e-4 * r.n_tokens)
     # probabilities sum to one over all known words, the end and the unknown word
-    for v in (b"w1", b"<s>"):
-        total = sum((pair[v, w] + lm.STRENGTH * p(w)) / ((n_docs if v == b"<s>" else c[v]) + lm.STRENGTH) for w in [*c, b"never seen"])
-        assert total == pytest.approx(1.0)
+    for h in ((b"<s>",) * (order - 1), (b"w1",) * (order - 1), tuple(rows[0][1][: order - 1])):
+        assert sum(prob(h, w) for w in [*c, b"never seen"]) == pytest.approx(1.0)
     assert lm.lm_scores(nothing).count() == 0
 
 
+def test_lm_tells_seen_texts(spark):
+    """A held-out text that training has too scores apart from one that it hasn't, at equal words."""
+    rng = random.Random(8)
+    new = lambda: " ".join(f"v{min(rng.randrange(300), rng.randrange(300))}" for _ in range(80))
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(4000) if i not in set(held)]
+    rows = [(i, new()) for i in train[:600]] + [(i, new()) for i in held[:100]]
+    twins = {h: t for h, t in zip(held[100:130], train[600:630], strict=True)}
+    for h, t in twins.items():
+        text = new()
+        rows += [(h, text), (t, text)]
+    got = [(r.doc_id, r.score / r.n_tokens) for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()]
+    assert min(s for i, s in got if i in twins) > max(s for i, s in got if i not in twins)
+
+
 # lines ---------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("max_bits", "per_line"), [(1 << 30, 32), (1 << 20, 32), (1 << 20, 8192)])
 def test_lines(docs, nothing, max_bits, per_line):

@@ -10,12 +10,11 @@ import hashlib
 import struct
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_names
+from tidemark.llm.common import own_names, text_udf
 
 #: Distinct pieces whose ids a worker keeps; the memo is emptied when full.
 MEMO_PIECES = 100_000
@@ -264,14 +263,14 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast((ranks, hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()))
     kind = "n long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @text_udf(kind)
+    def run(texts):
         v, out = vocabulary(shared, pattern), []
         for text in texts:
             ids = encode(v, text)
             row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(v, ids)).hexdigest())
             out.append((*row, ids.astype(np.int32)) if with_ids else row)
-        return pd.DataFrame(out, columns=["n", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        return out
 
     cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("bpe_ids", "bpe_n", "bpe_ids_sha256", "bpe_decoded_sha256")]
     got, = own_names(docs, "bpe_result")
@@ -281,14 +280,14 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "bpe_ids") -> DataFrame:
-    """rows with bpe_text, the decoded text of ids_col; null ids give an empty text."""
+    """rows with bpe_text, the decoded text of ids_col; null ids give an empty text. A column bpe_text of rows is replaced."""
     ranks = load_ranks(path)
     shared = rows.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
 
-    @F.pandas_udf("string")
-    def run(lists: pd.Series) -> pd.Series:
+    @text_udf("string")
+    def run(lists):
         of = shared.value
-        return pd.Series([b"".join(of[int(i)] for i in x).decode("utf-8", "replace") if x is not None else "" for x in lists], dtype=object)
+        return [b"".join(map(of.__getitem__, x)).decode("utf-8", "replace") if x is not None else "" for x in lists]
 
     return rows.withColumn("bpe_text", run(F.col(ids_col)))
 

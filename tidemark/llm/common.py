@@ -4,8 +4,11 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 #: Words are runs of anything but these six characters; bytes.split() cuts at exactly them.
 SPACE = " \t\n\x0b\f\r"
@@ -69,6 +72,46 @@ def row_key(*cols):
     return F.struct(F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5EED), *cols).alias("h2"))
 
 
+#: Texts that a worker function sees at a time; Arrow's own batches are larger, and are cut without being copied.
+BATCH_ROWS = 500
+
+
+def pieces(batch, *names: str):
+    """Lists of the named columns' values for at most BATCH_ROWS rows of an Arrow batch at a time."""
+    cols = [batch.column(n) for n in names]
+    for at in range(0, batch.num_rows, BATCH_ROWS):
+        yield [c.slice(at, BATCH_ROWS).to_pylist() for c in cols]
+
+
+def text_udf(kind: str):
+    """Makes fn(list, ...) -> list a column function over Arrow arrays; for a kind with names, fn gives a tuple a row.
+
+    The session's batches are cut to BATCH_ROWS rows, so that a worker never holds many texts as objects.
+    """
+    spark_type = _parse_datatype_string(kind)
+    arrow = to_arrow_type(spark_type)
+
+    def array(values: list) -> pa.Array:
+        if not pa.types.is_struct(arrow):
+            return pa.array(values, arrow)
+        cols = zip(*values, strict=True) if values else [[] for _ in arrow]
+        return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], fields=list(arrow))
+
+    def wrap(fn):
+        def cut(*cols):
+            return pa.concat_arrays([array(fn(*[c.slice(at, BATCH_ROWS).to_pylist() for c in cols])) for at in range(0, max(1, len(cols[0])), BATCH_ROWS)])
+
+        if fn.__code__.co_argcount == 1:
+            def run(a: pa.Array) -> pa.Array:
+                return cut(a)
+        else:
+            def run(a: pa.Array, b: pa.Array) -> pa.Array:
+                return cut(a, b)
+        return F.arrow_udf(run, spark_type)
+
+    return wrap
+
+
 def own_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for working columns that clash with no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, in one memory-mapped file."""
+"""Elias-Fano sequences and an n-gram trie over them, in one memory-mapped file."""
 
 import tempfile
 
@@ -76,21 +76,26 @@ class Quantised:
 
 
 class Trie:
-    """Level 1: predicted words with their probability and their weight as a context. Level 2: the words before them.
+    """Level 1 holds predicted words; level k + 1 holds, below a node of level k, the words that stand k before the predicted one.
 
-    Level 2 is one monotone sequence of word position * contexts + context number; a word's children lie between two
-    monotone pointers, so a lookup is a successor search relative to the word.
+    A level is one monotone sequence of parent * contexts + context number; a node's children lie between two monotone
+    pointers, so a lookup is a successor search relative to the node. Each node has quantised values.
     """
 
-    def __init__(self, words, counts, word_prob, word_weight, parents, contexts, pair_prob):
-        """words: sorted distinct hashes; parents, contexts: of each pair, in order of (parent, context hash)."""
-        known, number = np.unique(contexts, return_inverse=True)
-        self.size = len(words), len(known), len(contexts)
-        ends = np.searchsorted(parents, np.arange(len(words) + 1)) if len(words) else np.zeros(1, np.int64)
-        span = max(1, len(known))
-        packs = {"words": EliasFano.pack(words), "counts": EliasFano.pack(np.concatenate([[0], np.cumsum(counts)])), "known": EliasFano.pack(known),
-                 "pointers": EliasFano.pack(ends), "pairs": EliasFano.pack(parents.astype(np.uint64) * np.uint64(span) + number.astype(np.uint64))}
-        quant = {"word_prob": Quantised.pack(word_prob), "word_weight": Quantised.pack(word_weight), "pair_prob": Quantised.pack(pair_prob)}
+    def __init__(self, words: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], values: list[list[np.ndarray]]):
+        """words: sorted distinct hashes; levels: (parents, contexts) of levels 2 and on, in order of (parent, context hash);
+        values: for each level the arrays that its nodes hold."""
+        packs, quant, self.spans, above = {("words", 0): EliasFano.pack(words)}, {}, [], len(words)
+        for k, (parents, contexts) in enumerate(levels):
+            known, number = np.unique(contexts, return_inverse=True)
+            self.spans.append(max(1, len(known)))
+            packs["known", k] = EliasFano.pack(known)
+            packs["pointers", k] = EliasFano.pack(np.searchsorted(parents, np.arange(above + 1)))
+            packs["nodes", k] = EliasFano.pack(parents.astype(np.uint64) * np.uint64(self.spans[-1]) + number.astype(np.uint64))
+            above = len(contexts)
+        for k, arrays in enumerate(values):
+            for i, a in enumerate(arrays):
+                quant[k, i] = Quantised.pack(a)
         self.file = tempfile.TemporaryFile()  # has no name, so nothing is left behind
         where, at = {}, 0
         for name, arrays in [(k, p[2:]) for k, p in packs.items()] + [(k, p[:1]) for k, p in quant.items()]:
@@ -104,38 +109,36 @@ class Trie:
         self.bytes = at
         flat = np.memmap(self.file, dtype=np.uint8, mode="r", shape=(at + 8,))
         part = lambda key: flat[(w := where[key])[0] : w[0] + w[1] * w[2].itemsize].view(w[2])
-        self.flat = flat
-        for k, p in packs.items():
-            setattr(self, k, EliasFano(p[0], p[1], part((k, 0)), part((k, 1))))
-        for k, p in quant.items():
-            setattr(self, k, Quantised(part((k, 0)), p[1], p[2]))
+        self.packs = {k: EliasFano(p[0], p[1], part((k, 0)), part((k, 1))) for k, p in packs.items()}
+        self.quant = {k: Quantised(part((k, 0)), p[1], p[2]) for k, p in quant.items()}
 
     def find_words(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions of words on level 1, -1 for unknown ones."""
-        at = self.words.successor(hashes)
-        ok = at < self.words.n
-        ok[ok] = self.words.get(at[ok]) == hashes[ok]
+        """Nodes of words on level 1, -1 for unknown ones."""
+        words = self.packs["words", 0]
+        at = words.successor(hashes)
+        ok = at < words.n
+        ok[ok] = words.get(at[ok]) == hashes[ok]
         return np.where(ok, at, -1)
 
-    def count(self, at: np.ndarray) -> np.ndarray:
-        return (self.counts.get(at + 1) - self.counts.get(at)).astype(np.int64)
-
-    def find_pairs(self, at: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Positions on level 2 of the pairs of words at `at` (no -1) and context hashes, -1 for unknown pairs."""
+    def find_children(self, level: int, at: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Nodes of level + 1 below the nodes `at` of a level (no -1) by context hashes, -1 for unknown ones."""
+        known, pointers, nodes = (self.packs[n, level - 1] for n in ("known", "pointers", "nodes"))
         out = np.full(len(at), -1, dtype=np.int64)
-        number = self.known.successor(contexts)
-        ok = np.flatnonzero(number < self.known.n)
-        ok = ok[self.known.get(number[ok]) == contexts[ok]]
+        number = known.successor(contexts)
+        ok = np.flatnonzero(number < known.n)
+        ok = ok[known.get(number[ok]) == contexts[ok]]
         if len(ok):
-            want = at[ok].astype(np.uint64) * np.uint64(max(1, self.size[1])) + number[ok].astype(np.uint64)
-            lo, hi = self.pointers.get(at[ok]).astype(np.int64), self.pointers.get(at[ok] + 1).astype(np.int64)
-            p = self.pairs.successor(want, lo, hi)
+            want = at[ok].astype(np.uint64) * np.uint64(self.spans[level - 1]) + number[ok].astype(np.uint64)
+            lo, hi = pointers.get(at[ok]).astype(np.int64), pointers.get(at[ok] + 1).astype(np.int64)
+            p = nodes.successor(want, lo, hi)
             hit = np.flatnonzero(p < hi)
-            hit = hit[self.pairs.get(p[hit]) == want[hit]]
+            hit = hit[nodes.get(p[hit]) == want[hit]]
             out[ok[hit]] = p[hit]
         return out
 
+    def value(self, level: int, which: int, at: np.ndarray) -> np.ndarray:
+        return self.quant[level - 1, which].get(at)
+
     def close(self):
-        for name in ("words", "counts", "known", "pointers", "pairs", "word_prob", "word_weight", "pair_prob", "flat"):
-            delattr(self, name)
+        del self.packs, self.quant
         self.file.close()

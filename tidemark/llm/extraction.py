@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, text_udf
 
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -247,10 +247,9 @@ def extract_main_text(pages: DataFrame, share: float = 0.9, min_pages: int = 5,
     if (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_TOKENS:
         found = F.broadcast(found)
 
-    @F.pandas_udf("string")
-    def text_of(sources: pd.Series, found: pd.Series) -> pd.Series:
-        cut = [main_text(s, [(x["place"], x["token"], x["class"]) for x in t] if t is not None else None) for s, t in zip(sources, found, strict=True)]
-        return pd.Series(cut, dtype=object)
+    @text_udf("string")
+    def text_of(sources, found):
+        return [main_text(s, [(x["place"], x["token"], x["class"]) for x in t] if t is not None else None) for s, t in zip(sources, found, strict=True)]
 
     out = src.join(found, "host", "left").select("page_id", "url", text_of("html", "template").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

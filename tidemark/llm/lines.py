@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, checkpointed, own_names, row_key, shuffle_partitions
+from tidemark.llm.common import SPACE, checkpointed, own_names, row_key, shuffle_partitions, text_udf
 
 SEGMENT_BITS = 1 << 20
 #: Positions held in a task before they are sent on.
@@ -35,9 +35,9 @@ def digests(text: str | None, min_chars: int) -> bytes:
 
 
 def _keys(min_chars: int):
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([digests(t, min_chars) for t in texts], dtype=object)
+    @text_udf("binary")
+    def run(texts):
+        return [digests(t, min_chars) for t in texts]
 
     return run
 
@@ -126,19 +126,17 @@ def _suspects(bits: int, filters, number: int, slices: int):
 
 
 def _rewrite(min_chars: int):
-    @F.pandas_udf("n_lines long, n_dropped long, kept string")
-    def run(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
-        n, dropped, kept = [], [], []
+    @text_udf("n_lines long, n_dropped long, kept string")
+    def run(texts, drops):
+        out = []
         for text, drop in zip(texts, drops, strict=True):
             parts = stay = (text or "").split("\n")
-            if drop is not None and len(drop):
-                gone = {bytes(x) for x in drop}
+            if drop:
+                gone = set(drop)
                 keys = line_keys(text, min_chars)
                 stay = [x for x, k in zip(parts, keys, strict=True) if k is None or xxhash.xxh3_128_digest(k) not in gone]
-            n.append(len(parts))
-            dropped.append(len(parts) - len(stay))
-            kept.append("\n".join(stay))
-        return pd.DataFrame({"n_lines": n, "n_dropped": dropped, "kept": kept})
+            out.append((len(parts), len(parts) - len(stay), "\n".join(stay)))
+        return out
 
     return run
 

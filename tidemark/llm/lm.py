@@ -1,34 +1,37 @@
 """LM scoring with an Elias-Fano n-gram trie, partitioned by predicted word.
 
-log10 p(w | v) = log10(c(v w) + m p(w)) - log10(c(v) + m): a Dirichlet-smoothed bigram model with m pseudo-counts over
-absolutely discounted word probabilities p. The first term needs only what is known where w is, the second what is known
-where v is. So each token is sent once, to its word's partition, which counts, builds its part of the trie, memory-maps
-it, and returns partial sums for each document. Words so frequent that they would fill a partition are spread over all by
-their context, with their count known beforehand.
+p(w | h) = (sum a_k c(h_k w) + b p(w)) / (sum a_k c(h_k) + b), h_k being the last k words before w, k = 1 .. order - 1: counts of
+all orders with growing weights, over absolutely discounted word probabilities p. The numerator needs only what is known
+where w is; the denominator of the word after it needs the counts of the same word's contexts, known there too. So each
+token is sent once, with the words before it, to its word's partition, which counts, builds its part of the trie,
+memory-maps it, and returns partial sums for each document. Words so frequent that they would fill a partition are spread
+over all by the word before them, with their count known beforehand.
 """
 
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, shuffle_partitions
+from tidemark.llm.common import checkpointed, pieces, shuffle_partitions
 from tidemark.llm.eliasfano import Trie
 
 #: No word holds these characters.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\r"))
-CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 8192
+#: Tokens of a chunk: MESSAGE_TOKENS for each partition that it is sent to, within these bounds; documents at most.
+MESSAGE_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 20_000, (1_000_000, 8_000_000), 8192
 #: Tokens of a trie partition, about; PARTS partitions at least.
 PART_TOKENS, PARTS = 4_000_000, 48
 #: Tokens that a task holds unpacked at a time.
-ROUND_TOKENS = 700_000
-#: Pseudo-counts of the smoothing.
-STRENGTH = 1000.0
+ROUND_TOKENS = 600_000
+#: Weights of the counts by length of the context, and of the word's own probability.
+WEIGHTS, BASE_WEIGHT = (1.0, 100.0, 10_000.0), 1000.0
 MEMO_WORDS = 500_000
 
 
@@ -49,26 +52,23 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(int(doc_id)).encode() if doc_id is not None and doc_id == doc_id else b"") % 5 == 1
 
 
-def _ids(col: pd.Series) -> list:
-    return [None if x is None or x != x else int(x) for x in col.astype(object)]
-
-
 def _count(batches):
     """(h, n): training tokens by hash, summed in chunks."""
     memo, held, n = _Hashes(), [], 0
 
     def flush():
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"h": h.view(np.int64), "n": c.astype(np.int64)})
-
-    for pdf in batches:
-        for doc, text in zip(_ids(pdf["doc"]), pdf["body"], strict=True):
-            if not held_out(doc):
-                held.append(np.array([*token_hashes(text, memo), int(END)], dtype=np.uint64))
-                n += len(held[-1])
-            if n >= 2 * CHUNK_TOKENS:
-                yield flush()
-                held, n = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "n"])
+
+    for batch in batches:
+        for docs, texts in pieces(batch, "doc", "body"):
+            for doc, text in zip(docs, texts, strict=True):
+                if not held_out(doc):
+                    held.append(np.array([*token_hashes(text, memo), int(END)], dtype=np.uint64))
+                    n += len(held[-1])
+                if n >= 2_000_000:
+                    yield flush()
+                    held, n = [], 0
     if held:
         yield flush()
 
@@ -84,73 +84,95 @@ def part_of(word: np.ndarray, context: np.ndarray, heavy: np.ndarray, parts: int
     return ((np.where(spread, _mix(context, word), word) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _scatter(parts: int, heavy: np.ndarray):
+def contexts_of(numbers: np.ndarray, sizes: list[int], order: int, start: int) -> list[np.ndarray]:
+    """For k = 1 .. order - 1 the word that stands k before each token of its document, `start` before the first."""
+    begins = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    place = np.arange(len(numbers)) - begins
+    out = []
+    for k in range(1, order):
+        shifted = np.r_[np.full(min(k, len(numbers)), start, numbers.dtype), numbers[:-k]]
+        out.append(np.where(place >= k, shifted, start).astype(numbers.dtype))
+    return out
+
+
+def _scatter(parts: int, heavy: np.ndarray, order: int):
     """Chunks of documents as rows (part, chunk, docs, tokens) with packed arrays."""
+    chunk_tokens = min(CHUNK_TOKENS[1], max(CHUNK_TOKENS[0], MESSAGE_TOKENS * parts))
 
     def run(batches):
         memo, z = _Hashes(), zstandard.ZstdCompressor(1)
-        chunk, ids, words, before, sizes = TaskContext.get().partitionId() << 32, [], [], [], []
+        chunk, ids, words, sizes = TaskContext.get().partitionId() << 32, [], [], []
 
         def flush():
-            w, v = np.concatenate(words), np.concatenate(before)
+            # words of the chunk by number; number 0 is what stands before a document
+            table, numbers = np.unique(np.concatenate([np.array([START]), *words]), return_inverse=True)
+            start, numbers = int(numbers[0]), numbers[1:].astype(np.int32)
+            before = contexts_of(numbers, sizes, order, start)
             doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-            part = part_of(w, v, heavy, parts)
-            order = np.lexsort((v, w, part))
-            w, v, doc, part = w[order], v[order], doc[order], part[order]
+            part = part_of(table[numbers], table[before[0]], heavy, parts)
+            by = np.argsort(part * len(table) + numbers, kind="stable")
+            part, numbers, doc, before = part[by], numbers[by], doc[by], [x[by] for x in before]
             known, number = np.array([i is not None for i in ids]), np.array([i or 0 for i in ids], dtype=np.int64)
+            train = np.array([not held_out(i) for i in ids])
             cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
-            rows = []
+            rows, used, where = [], np.zeros(len(table), dtype=bool), np.zeros(len(table), dtype=np.uint32)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own, n = np.unique(w[a:b], return_counts=True)
+                own, n = np.unique(numbers[a:b], return_counts=True)
                 there, at = np.unique(doc[a:b], return_inverse=True)  # only documents with tokens here
-                head = np.array([len(there), len(own), b - a], dtype=np.int64)
-                table = z.compress(there.astype(np.uint16).tobytes() + known[there].tobytes() + number[there].tobytes())
-                rows.append((int(part[a]), chunk, table, z.compress(b"".join(x.tobytes() for x in (head, own, n.astype(np.uint32), v[a:b], at.astype(np.uint16))))))
-            return pd.DataFrame(rows, columns=["part", "chunk", "docs", "tokens"])
+                used[:] = False
+                for x in before:
+                    used[x[a:b]] = True
+                local = np.flatnonzero(used)
+                where[local] = np.arange(len(local))
+                kind = np.uint16 if len(local) <= 1 << 16 else np.uint32
+                head = np.array([len(there), len(own), b - a, len(local)], dtype=np.int64)
+                docs = z.compress(there.astype(np.uint16).tobytes() + known[there].tobytes() + train[there].tobytes() + number[there].tobytes())
+                body = [head, table[own], n.astype(np.uint32), table[local], at.astype(np.uint16), *[where[x[a:b]].astype(kind) for x in before]]
+                rows.append((int(part[a]), chunk, docs, z.compress(b"".join(x.tobytes() for x in body))))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "chunk", "docs", "tokens"])
 
         n = 0
-        for pdf in batches:
-            for doc, text in zip(_ids(pdf["doc"]), pdf["body"], strict=True):
-                h = token_hashes(text, memo)
-                words.append(np.array([*h, int(END)], dtype=np.uint64))
-                before.append(np.array([int(START), *h], dtype=np.uint64))
-                ids.append(doc)
-                sizes.append(len(h) + 1)
-                n += sizes[-1]
-                if n >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
-                    yield flush()
-                    chunk, ids, words, before, sizes, n = chunk + 1, [], [], [], [], 0
+        for batch in batches:
+            for docs, texts in pieces(batch, "doc", "body"):
+                for doc, text in zip(docs, texts, strict=True):
+                    words.append(np.array([*token_hashes(text, memo), int(END)], dtype=np.uint64))
+                    ids.append(doc)
+                    sizes.append(len(words[-1]))
+                    n += sizes[-1]
+                    if n >= chunk_tokens or len(ids) >= CHUNK_DOCS:
+                        yield flush()
+                        chunk, ids, words, sizes, n = chunk + 1, [], [], [], 0
         if ids:
             yield flush()
 
     return run
 
 
-def _unpack(blob: bytes):
+def _unpack(blob: bytes, order: int, rounds: int, turn: int):
+    """Words, contexts and document numbers of one message, of those words whose turn it is."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n_docs, k, n = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-    at = 24
+    _, k, n, m = (int(x) for x in np.frombuffer(raw, np.int64, 4))
+    at = 32
     own = np.frombuffer(raw, np.uint64, k, at)
     reps = np.frombuffer(raw, np.uint32, k, at + 8 * k)
-    before = np.frombuffer(raw, np.uint64, n, at + 12 * k)
-    doc = np.frombuffer(raw, np.uint16, n, at + 12 * k + 8 * n)
-    return n_docs, np.repeat(own, reps), before, doc
+    table = np.frombuffer(raw, np.uint64, m, at + 12 * k)
+    at += 12 * k + 8 * m
+    doc = np.frombuffer(raw, np.uint16, n, at)
+    at += 2 * n
+    kind = np.dtype(np.uint16 if m <= 1 << 16 else np.uint32)
+    numbers = [np.frombuffer(raw, kind, n, at + i * kind.itemsize * n) for i in range(order - 1)]
+    word = np.repeat(own, reps)
+    if rounds > 1:
+        now = np.flatnonzero(np.repeat((own >> np.uint64(11)) % np.uint64(rounds) == turn, reps))
+        word, doc, numbers = word[now], doc[now], [x[now] for x in numbers]
+    return word, [table[x] for x in numbers], doc
 
 
 def _doc_table(blob: bytes):
-    """Numbers in the chunk, whether the id is known, and ids."""
+    """Numbers in the chunk, whether the id is known, whether the document trains, and ids."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(raw) // 11
-    return np.frombuffer(raw, np.uint16, n), np.frombuffer(raw, bool, n, 2 * n), np.frombuffer(raw, np.int64, n, 3 * n)
-
-
-def _groups(*sorted_keys):
-    change = np.zeros(len(sorted_keys[0]), dtype=bool)
-    change[:1] = True
-    for k in sorted_keys:
-        change[1:] |= k[1:] != k[:-1]
-    starts = np.flatnonzero(change)
-    return starts, np.cumsum(change) - 1
+    n = len(raw) // 12
+    return np.frombuffer(raw, np.uint16, n), np.frombuffer(raw, bool, n, 2 * n), np.frombuffer(raw, bool, n, 3 * n), np.frombuffer(raw, np.int64, n, 4 * n)
 
 
 class Totals:
@@ -172,70 +194,98 @@ class Totals:
         return np.where(c > 0, (c - self.discount) / n, unknown)
 
 
-def score_part(word, before, doc, train_doc, totals: Totals, strength: float):
+class Model:
+    """The order is one more than the number of count weights; a longer context should weigh more."""
+
+    def __init__(self, weights: tuple[float, ...] = WEIGHTS, base: float = BASE_WEIGHT):
+        if not weights or min(weights) <= 0 or base <= 0:
+            raise ValueError("a model needs at least one weight, and positive ones")
+        self.weights, self.base, self.order = tuple(weights), base, len(weights) + 1
+
+
+def score_part(word, before, doc, train_doc, totals: Totals, model: Model):
     """Partial sums of each document: tokens, known, base and score; arrays of one partition's tokens."""
-    order = np.lexsort((before, word))
-    word, before, doc = word[order], before[order], doc[order]
+    n_levels = model.order
+    order = np.lexsort((*before[::-1], word))
+    word, before, doc = word[order], [x[order] for x in before], doc[order]
     del order
-    train = train_doc[doc]
-    w_start, w_of = _groups(word)
-    p_start, p_of = _groups(word, before)
-    own = word[w_start]
-    c = np.add.reduceat(train.astype(np.int64), w_start)
-    at = np.searchsorted(totals.heavy, own)
+    train = train_doc[doc].astype(np.int64)
+    # groups of each level: their first token, their parent, and the count in training
+    change = np.r_[True, word[1:] != word[:-1]]
+    of, starts, parents, counts = [], [], [], []
+    for level in range(n_levels):
+        if level:
+            x = before[level - 1]
+            change[1:] |= x[1:] != x[:-1]
+        at = np.flatnonzero(change)
+        parents.append(of[-1][at] if level else None)
+        of.append((np.cumsum(change) - 1).astype(np.int32))
+        starts.append(at)
+        counts.append(np.add.reduceat(train, at))
+    own = word[starts[0]]
     if len(totals.heavy):
-        is_heavy = totals.heavy[np.minimum(at, len(totals.heavy) - 1)] == own
-        c = np.where(is_heavy, totals.heavy_counts[np.minimum(at, len(totals.heavy) - 1)], c)
-    pair = np.add.reduceat(train.astype(np.int64), p_start)
-    parent, context = w_of[p_start], before[p_start]
+        at = np.minimum(np.searchsorted(totals.heavy, own), len(totals.heavy) - 1)
+        counts[0] = np.where(totals.heavy[at] == own, totals.heavy_counts[at], counts[0])
+    # numerators of a word and denominators of what comes after it, for each longest known context
+    above, below = [model.base * totals.prob(counts[0])], [model.base + model.weights[0] * counts[0]]
+    for level in range(1, n_levels):
+        above.append(above[-1][parents[level]] + model.weights[level - 1] * counts[level])
+        if level < n_levels - 1:
+            below.append(below[-1][parents[level]] + model.weights[level] * counts[level])
     # the trie holds what training knows
-    in_w, in_p = c > 0, pair > 0
-    number = np.cumsum(in_w) - 1
-    trie = Trie(own[in_w], c[in_w], np.log10(totals.prob(c[in_w])), np.log10(c[in_w] + strength), number[parent[in_p]], context[in_p],
-                np.log10(pair[in_p] + strength * totals.prob(c[parent[in_p]])))
-    # and answers for every word and pair of the partition
-    found = trie.find_words(own)
-    ok = found >= 0
-    count = np.zeros(len(own), dtype=np.int64)
-    count[ok] = trie.count(found[ok])
-    prob = np.full(len(own), float(np.log10(totals.prob(np.zeros(1))[0])))
-    prob[ok] = trie.word_prob.get(found[ok])
-    weight = np.full(len(own), float(np.log10(strength)))
-    weight[ok] = trie.word_weight.get(found[ok])
-    value = np.log10(strength) + prob[parent]
-    ask = np.flatnonzero(ok[parent])
-    hit = trie.find_pairs(found[parent[ask]], context[ask])
-    value[ask[hit >= 0]] = trie.pair_prob.get(hit[hit >= 0])
+    inside, number = [c > 0 for c in counts], [np.cumsum(c > 0) - 1 for c in counts]
+    levels = [(number[k - 1][parents[k][inside[k]]], before[k - 1][starts[k][inside[k]]]) for k in range(1, n_levels)]
+    values = [[np.log10(above[k][inside[k]])] + ([np.log10(below[k][inside[k]])] if k < n_levels - 1 else []) for k in range(n_levels)]
+    trie = Trie(own[inside[0]], levels, values)
+    del above, below, values, levels, number
+    # and answers for every word and context of the partition
+    node = trie.find_words(own)
+    count = np.where(node >= 0, counts[0], 0)
+    up = np.full(len(own), float(np.log10(model.base * totals.prob(np.zeros(1))[0])))
+    down = np.full(len(own), float(np.log10(model.base)))
+    up[node >= 0], down[node >= 0] = trie.value(1, 0, node[node >= 0]), trie.value(1, 1, node[node >= 0])
+    after = down[of[0]]
+    for level in range(1, n_levels):
+        up, over = up[parents[level]], node[parents[level]]
+        ask = np.flatnonzero(over >= 0)
+        node = np.full(len(over), -1, dtype=np.int64)
+        node[ask] = trie.find_children(level, over[ask], before[level - 1][starts[level][ask]])
+        hit = np.flatnonzero(node >= 0)
+        up[hit] = trie.value(level + 1, 0, node[hit])
+        if level < n_levels - 1:
+            down = down[parents[level]]
+            down[hit] = trie.value(level + 1, 1, node[hit])
+            after = down[of[level]]
     trie.close()
-    weight[own == END] = 0.0
+    after = np.where(word == END, 0.0, after)  # nothing comes after an end
     n = len(train_doc)
     base = totals.base(count)
-    return (np.bincount(doc, minlength=n), np.bincount(doc, weights=ok[w_of], minlength=n).astype(np.int64), np.bincount(doc, weights=base[w_of], minlength=n),
-            np.bincount(doc, weights=value[p_of] - weight[w_of], minlength=n))
+    return (np.bincount(doc, minlength=n), np.bincount(doc, weights=(count > 0)[of[0]], minlength=n).astype(np.int64), np.bincount(doc, weights=base[of[0]], minlength=n),
+            np.bincount(doc, weights=up[of[-1]] - after, minlength=n))
 
 
-def _reduce(totals: Totals, strength: float):
+def _reduce(totals: Totals, model: Model):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, train, spans, at, tokens = zstandard.ZstdCompressor(1), [], [], 0, 0
         for chunk, docs, blob in zip(pdf["chunk"], pdf["docs"], pdf["tokens"], strict=True):
-            there, known, ids = _doc_table(docs)
-            train += [not held_out(int(i) if k else None) for i, k in zip(ids, known, strict=True)]
+            there, _, trains, _ = _doc_table(docs)
+            train.append(trains)
             spans.append((chunk, docs, blob, at, at + len(there)))
             at += len(there)
-            tokens += int(np.frombuffer(zstandard.ZstdDecompressor().stream_reader(blob).read(24), np.int64)[2])
-        train_doc, rounds = np.array(train, dtype=bool), max(1, -(-tokens // ROUND_TOKENS))
+            tokens += int(np.frombuffer(zstandard.ZstdDecompressor().stream_reader(blob).read(32), np.int64)[2])
+        train_doc, rounds = np.concatenate(train), max(1, -(-tokens // ROUND_TOKENS))
         sums = [np.zeros(at, dtype=k) for k in (np.int64, np.int64, np.float64, np.float64)]
         for turn in range(rounds):  # the words of a partition in turns, each with its own piece of the trie
-            w, v, d = [], [], []
+            w, d, v = [], [], [[] for _ in range(model.order - 1)]
             for _, _, blob, lo, _ in spans:
-                _, word, before, doc = _unpack(blob)
-                now = np.flatnonzero((word >> np.uint64(11)) % np.uint64(rounds) == turn) if rounds > 1 else slice(None)
-                w.append(word[now])
-                v.append(before[now])
-                d.append(doc[now].astype(np.int32) + np.int32(lo))
-            w, v, d = np.concatenate(w), np.concatenate(v), np.concatenate(d)
+                word, before, doc = _unpack(blob, model.order, rounds, turn)
+                w.append(word)
+                d.append(doc.astype(np.int32) + np.int32(lo))
+                for to, x in zip(v, before, strict=True):
+                    to.append(x)
+            w, d, v = np.concatenate(w), np.concatenate(d), [np.concatenate(x) for x in v]
             if len(w):
-                for total, part in zip(sums, score_part(w, v, d, train_doc, totals, strength), strict=True):
+                for total, part in zip(sums, score_part(w, v, d, train_doc, totals, model), strict=True):
                     total += part
         rows = [(int(chunk), docs, z.compress(b"".join(x[a:b].astype(k).tobytes() for x, k in zip(sums, ("<u4", "<u4", "<f8", "<f8"), strict=True)))) for chunk, docs, _, a, b in spans]
         return pd.DataFrame(rows, columns=["chunk", "docs", "sums"])
@@ -243,43 +293,44 @@ def _reduce(totals: Totals, strength: float):
     return run
 
 
-def _gather(totals: Totals, strength: float):
-    start = float(np.log10(totals.docs + strength))
+def _gather(totals: Totals, model: Model):
+    start = float(np.log10(totals.docs * sum(model.weights) + model.base))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = sorted(((bytes(d), bytes(s)) for d, s in zip(pdf["docs"], pdf["sums"], strict=True)))  # in a fixed order, so that sums of doubles agree
         tables = [_doc_table(d) for d, _ in parts]
         n = max(int(t[0][-1]) for t in tables) + 1
-        ids, known = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        ids, known, train = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         out = [np.zeros(n, dtype=k) for k in (np.int64, np.int64, np.float64, np.float64)]
-        for (where, k, i), (_, blob) in zip(tables, parts, strict=True):
-            ids[where], known[where] = i, k
+        for (where, k, t, i), (_, blob) in zip(tables, parts, strict=True):
+            ids[where], known[where], train[where] = i, k, t
             raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
             for x, kind in zip(out, ("<u4", "<u4", "<f8", "<f8"), strict=True):
                 x[where] += np.frombuffer(raw, kind, len(where), at)
                 at += len(where) * np.dtype(kind).itemsize
         doc = pd.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], dtype="Int64")
-        return pd.DataFrame({"doc_id": doc, "held_out": [held_out(None if x is pd.NA else x) for x in doc], "n_tokens": out[0], "n_known": out[1], "train_tokens": totals.tokens,
-                             "base_score": out[2], "score": out[3] - start})
+        return pd.DataFrame({"doc_id": doc, "held_out": ~train, "n_tokens": out[0], "n_known": out[1], "train_tokens": totals.tokens, "base_score": out[2], "score": out[3] - start})
 
     return run
 
 
-def lm_scores(docs: DataFrame, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, base_weight: float = BASE_WEIGHT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
-    Rows whose crc32(id as text) leaves remainder 1 by 5 are held out; all others train. A null text is empty: one end
-    token. Rows with equal ids are scored each. With no training rows every word is unknown. An empty table gives no rows.
+    weights: of the counts after contexts of 1, 2, ... words, so the order is one more than there are. Rows whose crc32(id as
+    text) leaves remainder 1 by 5 are held out; all others train. Ids are whole numbers. A null text is empty: one end token.
+    Rows with equal ids, repeated rows too, are scored each and all train. With no training rows every word is unknown. An
+    empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, model = docs.sparkSession, Model(weights, base_weight)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("body"))
-    counts = checkpointed(src.mapInPandas(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = checkpointed(src.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     end = int(END.view(np.int64))
     r = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0))).first()
     parts = max(PARTS, -(-int(r[0]) // PART_TOKENS))
     heavy = {int(np.int64(x.h).view(np.uint64)): int(x.n) for x in counts.where(F.col("n") > int(r[0]) // (8 * parts)).collect()}  # 8 * parts words at most
     totals = Totals(*(int(x) for x in r), heavy)
-    sent = src.mapInPandas(_scatter(parts, totals.heavy), "part long, chunk long, docs binary, tokens binary")
+    sent = src.mapInArrow(_scatter(parts, totals.heavy, model.order), "part long, chunk long, docs binary, tokens binary")
     n = min(parts, max(shuffle_partitions(spark), 1))
-    sums = sent.repartition(n, "part").groupBy("part").applyInPandas(_reduce(totals, strength), "chunk long, docs binary, sums binary")
-    return sums.groupBy("chunk").applyInPandas(_gather(totals, strength), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sums = sent.repartition(n, "part").groupBy("part").applyInPandas(_reduce(totals, model), "chunk long, docs binary, sums binary")
+    return sums.groupBy("chunk").applyInPandas(_gather(totals, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -9,12 +9,11 @@ sizes allow the similarity and whose fingerprints don't rule it out are checked,
 """
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names, row_key
+from tidemark.llm.common import checkpointed, own_names, row_key, text_udf
 from tidemark.llm.components import components
 from tidemark.llm.simhash import link_fingerprints, majority, shingle_hashes
 
@@ -51,13 +50,13 @@ def similar(a: str | None, b: str | None, shingle: int, least: float) -> bool:
 def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, row, cls) of every row of docs, and (a, b), links of classes that join the same components as all similar pairs."""
 
-    @F.pandas_udf("array<long>")
-    def sign(texts: pd.Series) -> pd.Series:
-        return pd.Series([signature(t, shingle) for t in texts])
+    @text_udf("array<long>")
+    def sign(texts):
+        return [signature(t, shingle) for t in texts]
 
-    @F.pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, shingle, least) for x, y in zip(a, b, strict=True)], dtype=bool)
+    @text_udf("boolean")
+    def check(a, b):
+        return [similar(x, y, shingle, least) for x, y in zip(a, b, strict=True)]
 
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     named = docs.select(key.alias("id"), row_key(key, text).alias("row"), text.alias("text"))

@@ -12,11 +12,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_names
+from tidemark.llm.common import own_names, text_udf
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -134,13 +133,9 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, tex
     """
     ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_bytes), rules)
 
-    @F.pandas_udf("string")
-    def first_failure(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            m = Measured(text)
-            out.append(next((r.name for r in ordered if r.rejects(m)), None))
-        return pd.Series(out, dtype=object)
+    @text_udf("string")
+    def first_failure(texts):
+        return [next((r.name for r in ordered if r.rejects(m)), None) for m in map(Measured, texts)]
 
     cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("kept", "rejected_by")]
     by, = own_names(docs, "first_failure")
@@ -159,15 +154,15 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     passed = [t for t in sample_texts(docs, text_col, sample_rows, sample_bytes) if not any(r.rejects(Measured(t)) for r in BASE)]
     ordered = order_rules(passed, RULES)
 
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
-    def measure(texts: pd.Series) -> pd.DataFrame:
+    @text_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    def measure(texts):
         out = []
         for text in texts:
             m = Measured(text)
             row = (len(m.words), m.word_chars, m.symbols, m.dup_lines, m.repeat_words)
             base = any(r.rejects(m) for r in BASE)
             out.append((*row, base, not base and not any(r.rejects(m) for r in ordered)))
-        return pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
+        return out
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), measure(F.col(f"`{text_col}`").cast("string")).alias("m"))
     return rows.select(F.col("id").alias(id_col), "m.*")

@@ -7,6 +7,7 @@ partition's rows meet the cells in random order (first permutation), are exchang
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,13 +58,13 @@ def shard_uniform(docs: DataFrame, n_shards: int = 16, seed: int = 8, cell_rows:
         to = np.repeat(np.arange(len(sizes), dtype=np.int32), row)
         rng.shuffle(to)
         at = 0
-        for pdf in batches:
-            n = len(pdf)
-            yield pdf.assign(**{cell: to[at : at + n], order: rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)})
+        for batch in batches:
+            n = batch.num_rows
+            yield batch.append_column(cell, pa.array(to[at : at + n])).append_column(order, pa.array(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)))
             at += n
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    dealt = held.mapInPandas(deal, f"{fields}, {cell} int, {order} long")
+    dealt = held.mapInArrow(deal, f"{fields}, {cell} int, {order} long")
     w = Window.partitionBy(cell).orderBy(order)
     spark = docs.sparkSession
     where = spark.createDataFrame(pd.DataFrame({cell_of: np.arange(len(sizes)), shard_of: shards, first_of: first}), f"{cell_of} int, {shard_of} int, {first_of} long")

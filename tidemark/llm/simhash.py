@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names, row_key, shuffle_partitions
+from tidemark.llm.common import checkpointed, own_names, row_key, shuffle_partitions, text_udf
 from tidemark.llm.components import components
 
 BITS = 64
@@ -182,9 +182,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     and text, equal for repeated rows. An empty table gives empty ones.
     """
 
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    @text_udf("long")
+    def simhash(texts):
+        return np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
 
     fps = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), simhash(F.col(f"`{text_col}`").cast("string")).alias("fp"), row_key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).alias("row"))
     fps = checkpointed(fps)
