@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_names, text_udf
+from tidemark.llm.common import own_names, text_batches, text_udf
 
 #: Distinct pieces whose ids a worker keeps; the memo is emptied when full.
 MEMO_PIECES = 100_000
@@ -259,6 +259,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     The ranks at `path` are read by the driver and broadcast: their size is that of the vocabulary. Null and empty texts
     have no ids. Special tokens are ordinary text. Columns of docs with these names are replaced.
     """
+    text_batches(docs)
     ranks = load_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()))
     kind = "n long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

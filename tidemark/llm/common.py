@@ -72,8 +72,19 @@ def row_key(*cols):
     return F.struct(F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5EED), *cols).alias("h2"))
 
 
-#: Texts that a worker function sees at a time; Arrow's own batches are larger, and are cut without being copied.
-BATCH_ROWS = 500
+#: Texts that a worker function sees at a time.
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, if it has more.
+
+    Batches of ten thousand texts take several hundred megabytes of an executor, on both sides. Spark reads the setting when a
+    plan runs, which may be after an operator has returned, so it stays; a caller can set it back once the result is written.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
 
 
 def pieces(batch, *names: str):
@@ -86,7 +97,7 @@ def pieces(batch, *names: str):
 def text_udf(kind: str):
     """Makes fn(list, ...) -> list a column function over Arrow arrays; for a kind with names, fn gives a tuple a row.
 
-    The session's batches are cut to BATCH_ROWS rows, so that a worker never holds many texts as objects.
+    Batches are cut to BATCH_ROWS rows, so that a worker never holds many texts as objects.
     """
     spark_type = _parse_datatype_string(kind)
     arrow = to_arrow_type(spark_type)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, text_udf
+from tidemark.llm.common import checkpointed, text_batches, text_udf
 
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,6 +240,7 @@ def extract_main_text(pages: DataFrame, share: float = 0.9, min_pages: int = 5,
     Null and empty pages have an empty text. Pages without a host in their URL, or of a host with few pages, have no
     template and are cut by their elements alone. Repeated rows are extracted each. An empty table gives no rows.
     """
+    text_batches(pages)
     url = F.col(f"`{url_col}`").cast("string")
     src = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), F.xxhash64(F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))).alias("host"), (F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1) != "").alias("named"), F.col(f"`{html_col}`").cast("string").alias("html"))
     src = src.withColumn("host", F.when(F.col("named"), F.col("host")))

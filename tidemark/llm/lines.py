@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, checkpointed, own_names, row_key, shuffle_partitions, text_udf
+from tidemark.llm.common import SPACE, checkpointed, own_names, row_key, shuffle_partitions, text_batches, text_udf
 
 SEGMENT_BITS = 1 << 20
 #: Positions held in a task before they are sent on.
@@ -172,6 +172,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits_pe
     the largest id all keep the line. Rows with a null id count as documents; they keep a line only if no holder has an id.
     Keys are compared by 128-bit digests. An empty table gives no rows.
     """
+    text_batches(docs)
     row, drop, out = own_names(docs, "row_key", "drop_keys", "line_result")
     doc, body = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     src = docs.select(doc.alias("doc"), row_key(doc, body).alias("row"), body.alias("body"))

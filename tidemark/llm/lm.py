@@ -19,13 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, pieces, shuffle_partitions
+from tidemark.llm.common import checkpointed, pieces, shuffle_partitions, text_batches
 from tidemark.llm.eliasfano import Trie
 
 #: No word holds these characters.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\r"))
-#: Tokens of a chunk: MESSAGE_TOKENS for each partition that it is sent to, within these bounds; documents at most.
-MESSAGE_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 20_000, (1_000_000, 8_000_000), 8192
+#: Tokens of a chunk: MESSAGE_TOKENS for each partition that it is sent to, within these bounds; documents at most. A message names
+#: each word once, so that large messages are small for what they say.
+MESSAGE_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 100_000, (4_000_000, 8_000_000), 1 << 16
 #: Tokens of a trie partition, about; PARTS partitions at least.
 PART_TOKENS, PARTS = 4_000_000, 48
 #: Tokens that a task holds unpacked at a time.
@@ -95,6 +96,16 @@ def contexts_of(numbers: np.ndarray, sizes: list[int], order: int, start: int) -
     return out
 
 
+def _mark(place: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order; place then has the rank of each."""
+    used = np.zeros(len(place), dtype=bool)
+    for x in numbers:
+        used[x] = True
+    out = np.flatnonzero(used)
+    place[out] = np.arange(len(out))
+    return out
+
+
 def _scatter(parts: int, heavy: np.ndarray, order: int):
     """Chunks of documents as rows (part, chunk, docs, tokens) with packed arrays."""
     chunk_tokens = min(CHUNK_TOKENS[1], max(CHUNK_TOKENS[0], MESSAGE_TOKENS * parts))
@@ -115,15 +126,14 @@ def _scatter(parts: int, heavy: np.ndarray, order: int):
             known, number = np.array([i is not None for i in ids]), np.array([i or 0 for i in ids], dtype=np.int64)
             train = np.array([not held_out(i) for i in ids])
             cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
-            rows, used, where = [], np.zeros(len(table), dtype=bool), np.zeros(len(table), dtype=np.uint32)
+            word_place, doc_place = (np.zeros(n, dtype=np.uint32) for n in (len(table), len(ids)))
+            rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own, n = np.unique(numbers[a:b], return_counts=True)
-                there, at = np.unique(doc[a:b], return_inverse=True)  # only documents with tokens here
-                used[:] = False
-                for x in before:
-                    used[x[a:b]] = True
-                local = np.flatnonzero(used)
-                where[local] = np.arange(len(local))
+                begin = np.flatnonzero(np.r_[True, numbers[a + 1 : b] != numbers[a : b - 1]])
+                own, n = numbers[a:b][begin], np.diff(np.r_[begin, b - a])
+                there = _mark(doc_place, doc[a:b])  # only documents with tokens here
+                at, local = doc_place[doc[a:b]], _mark(word_place, *[x[a:b] for x in before])
+                where = word_place
                 kind = np.uint16 if len(local) <= 1 << 16 else np.uint32
                 head = np.array([len(there), len(own), b - a, len(local)], dtype=np.int64)
                 docs = z.compress(there.astype(np.uint16).tobytes() + known[there].tobytes() + train[there].tobytes() + number[there].tobytes())
@@ -322,6 +332,7 @@ def lm_scores(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, base_weight
     Rows with equal ids, repeated rows too, are scored each and all train. With no training rows every word is unknown. An
     empty table gives no rows.
     """
+    text_batches(docs)
     spark, model = docs.sparkSession, Model(weights, base_weight)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("body"))
     counts = checkpointed(src.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names, row_key, text_udf
+from tidemark.llm.common import checkpointed, own_names, row_key, text_batches, text_udf
 from tidemark.llm.components import components
 from tidemark.llm.simhash import link_fingerprints, majority, shingle_hashes
 
@@ -49,6 +49,7 @@ def similar(a: str | None, b: str | None, shingle: int, least: float) -> bool:
 
 def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, row, cls) of every row of docs, and (a, b), links of classes that join the same components as all similar pairs."""
+    text_batches(docs)
 
     @text_udf("array<long>")
     def sign(texts):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_names, text_udf
+from tidemark.llm.common import own_names, text_batches, text_udf
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -131,6 +131,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, tex
     kept doesn't depend on the order; rejected_by does, and the order on measured times. A null text is an empty one.
     Columns of docs named like the results are replaced.
     """
+    text_batches(docs)
     ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_bytes), rules)
 
     @text_udf("string")
@@ -151,6 +152,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. A null text has none.
     Repeated rows give a row each; an empty table gives none.
     """
+    text_batches(docs)
     passed = [t for t in sample_texts(docs, text_col, sample_rows, sample_bytes) if not any(r.rejects(Measured(t)) for r in BASE)]
     ordered = order_rules(passed, RULES)
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names
+from tidemark.llm.common import checkpointed, own_names, text_batches
 from tidemark.llm.hypergeom import generator, split_path
 
 #: Rows of a cell, about: what one task sorts after the exchange.
@@ -42,6 +42,7 @@ def shard_uniform(docs: DataFrame, n_shards: int = 16, seed: int = 8, cell_rows:
     columns, nulls and repeated rows are carried as they are; columns named shard and slot are replaced. An empty table
     gives no rows. Fewer rows than shards leave shards empty.
     """
+    text_batches(docs)
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     held = checkpointed(docs.select(*[F.col(f"`{c}`") for c in keep]))
     counts = dict(held.groupBy(F.spark_partition_id().alias("p")).count().collect())

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, own_names, row_key, shuffle_partitions, text_udf
+from tidemark.llm.common import checkpointed, own_names, row_key, shuffle_partitions, text_batches, text_udf
 from tidemark.llm.components import components
 
 BITS = 64
@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     there is none). Equal fingerprints are one class before any link is made, so copies cost nothing. row is a digest of id
     and text, equal for repeated rows. An empty table gives empty ones.
     """
+    text_batches(docs)
 
     @text_udf("long")
     def simhash(texts):
