@@ -10,9 +10,12 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        #: The eight bytes from each byte on.
+        self.longs = np.lib.stride_tricks.as_strided(low[:8].view("<u8"), shape=(len(low) - 7,), strides=(1,), writeable=False)
         ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[:n]
-        #: High parts of all elements; where a high part begins is found by bisection.
+        #: High parts of all elements, and where each high part begins.
         self.tops = (ones - np.arange(n)).astype(np.uint64)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.tops.astype(np.int64), minlength=1)), [n]])
 
     @staticmethod
     def pack(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -35,7 +38,7 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(at), dtype=np.uint64)
         bit = at.astype(np.int64) * self.low_bits
-        raw = self.low[(bit >> 3)[:, None] + np.arange(8)].copy().view("<u8").ravel()
+        raw = self.longs[bit >> 3]
         return (raw >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1) if self.low_bits <= 56 else raw
 
     def get(self, at: np.ndarray) -> np.ndarray:
@@ -45,7 +48,8 @@ class EliasFano:
         """Position of the first element >= each value, within [lo, hi) of each if given."""
         values = np.asarray(values, dtype=np.uint64)
         tops = values >> np.uint64(self.low_bits)
-        at, end = np.searchsorted(self.tops, tops, "left"), np.searchsorted(self.tops, tops, "right")
+        tops = np.minimum(tops, np.uint64(len(self.first) - 2)).astype(np.int64)
+        at, end = self.first[tops], self.first[tops + 1]
         if lo is not None:
             at, end = np.clip(at, lo, hi), np.clip(end, lo, hi)
         want = values & np.uint64((1 << self.low_bits) - 1)

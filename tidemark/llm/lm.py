@@ -28,7 +28,9 @@ END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\r"))
 #: each word once, so that large messages are small for what they say.
 MESSAGE_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 100_000, (4_000_000, 8_000_000), 1 << 16
 #: Tokens of a trie partition, about; PARTS partitions at least.
-PART_TOKENS, PARTS = 4_000_000, 48
+PART_TOKENS, PARTS = 4_000_000, 24
+#: Bytes of a context word's hash that are sent: contexts are told apart below one word only.
+CONTEXT_BYTES = 6
 #: Tokens that a task holds unpacked at a time.
 ROUND_TOKENS = 600_000
 #: Weights of the counts by length of the context, and of the word's own probability.
@@ -97,15 +99,27 @@ def contexts_of(numbers: np.ndarray, sizes: list[int], order: int, start: int) -
 
 
 def _mark(place: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
-    """The distinct numbers in order; place then has the rank of each."""
-    used = np.zeros(len(place), dtype=bool)
-    for x in numbers:
-        used[x] = True
-    out = np.flatnonzero(used)
+    """The distinct numbers, most frequent first; place then has the rank of each."""
+    count = np.bincount(numbers[0], minlength=len(place))
+    for x in numbers[1:]:
+        count += np.bincount(x, minlength=len(place))
+    out = np.flatnonzero(count)
+    out = out[np.argsort(-count[out], kind="stable")]
     place[out] = np.arange(len(out))
     return out
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: ranks by frequency have small upper bytes, which pack well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def _scatter(parts: int, heavy: np.ndarray, order: int):
     """Chunks of documents as rows (part, chunk, docs, tokens) with packed arrays."""
     chunk_tokens = min(CHUNK_TOKENS[1], max(CHUNK_TOKENS[0], MESSAGE_TOKENS * parts))
@@ -131,14 +145,13 @@ def _scatter(parts: int, heavy: np.ndarray, order: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 begin = np.flatnonzero(np.r_[True, numbers[a + 1 : b] != numbers[a : b - 1]])
                 own, n = numbers[a:b][begin], np.diff(np.r_[begin, b - a])
-                there = _mark(doc_place, doc[a:b])  # only documents with tokens here
-                at, local = doc_place[doc[a:b]], _mark(word_place, *[x[a:b] for x in before])
-                where = word_place
-                kind = np.uint16 if len(local) <= 1 << 16 else np.uint32
+                there, local = np.unique(doc[a:b]), _mark(word_place, *[x[a:b] for x in before])  # only documents with tokens here
+                doc_place[there] = np.arange(len(there))
                 head = np.array([len(there), len(own), b - a, len(local)], dtype=np.int64)
                 docs = z.compress(there.astype(np.uint16).tobytes() + known[there].tobytes() + train[there].tobytes() + number[there].tobytes())
-                body = [head, table[own], n.astype(np.uint32), table[local], at.astype(np.uint16), *[where[x[a:b]].astype(kind) for x in before]]
-                rows.append((int(part[a]), chunk, docs, z.compress(b"".join(x.tobytes() for x in body))))
+                wide = 2 if len(local) <= 1 << 16 else 4
+                body = [head.tobytes(), table[own].tobytes(), n.astype(np.uint32).tobytes(), _planes(table[local] >> np.uint64(64 - 8 * CONTEXT_BYTES), CONTEXT_BYTES), _planes(doc_place[doc[a:b]], 2), *[_planes(word_place[x[a:b]], wide) for x in before]]
+                rows.append((int(part[a]), chunk, docs, z.compress(b"".join(body))))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "chunk", "docs", "tokens"])
 
         n = 0
@@ -165,17 +178,15 @@ def _unpack(blob: bytes, order: int, rounds: int, turn: int):
     at = 32
     own = np.frombuffer(raw, np.uint64, k, at)
     reps = np.frombuffer(raw, np.uint32, k, at + 8 * k)
-    table = np.frombuffer(raw, np.uint64, m, at + 12 * k)
-    at += 12 * k + 8 * m
-    doc = np.frombuffer(raw, np.uint16, n, at)
+    at += 12 * k
+    table = _from_planes(raw, at, m, CONTEXT_BYTES)
+    at += CONTEXT_BYTES * m
+    doc = _from_planes(raw, at, n, 2).astype(np.int32)
     at += 2 * n
-    kind = np.dtype(np.uint16 if m <= 1 << 16 else np.uint32)
-    numbers = [np.frombuffer(raw, kind, n, at + i * kind.itemsize * n) for i in range(order - 1)]
+    wide = 2 if m <= 1 << 16 else 4
     word = np.repeat(own, reps)
-    if rounds > 1:
-        now = np.flatnonzero(np.repeat((own >> np.uint64(11)) % np.uint64(rounds) == turn, reps))
-        word, doc, numbers = word[now], doc[now], [x[now] for x in numbers]
-    return word, [table[x] for x in numbers], doc
+    now = np.flatnonzero(np.repeat((own >> np.uint64(11)) % np.uint64(rounds) == turn, reps)) if rounds > 1 else slice(None)
+    return word[now], [table[_from_planes(raw, at + i * wide * n, n, wide)[now]] for i in range(order - 1)], doc[now]
 
 
 def _doc_table(blob: bytes):
