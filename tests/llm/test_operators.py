@@ -414,6 +414,70 @@ def test_pages(spark):
     assert extraction.extract_main_text(df.where("false")).count() == 0
 
 
+def _soup(k, story):
+    """A page without telling names: only repetition over the host's pages says what is what."""
+    tip = ("Read our terms before you write to us", "Prices include all taxes", "Open from nine to five")[k % 3]
+    return f"<html><body><div><div>Front page</div><div>Contact</div></div><div><h1>{story} {k}</h1><p>{story} opens, part {k}.<p>It closes with {story} again, {k} times.</div><section><p>{tip}</section><div>All rights reserved</div></body></html>"
+
+
+def test_template_finds_the_article_without_names(spark):
+    rows = [(k, f"http://soup.example/{k}", _soup(k, f"Story{k}")) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: f"Story{k} {k} Story{k} opens, part {k}. It closes with Story{k} again, {k} times." for k in range(40)}
+    assert {r.page_id: r.text for r in extraction.extract_main_text(df).collect()} == want
+    without = {r.page_id: r.text for r in extraction.extract_main_text(df, min_pages=1000).collect()}
+    assert all(len(without[k]) > len(want[k]) and want[k] in without[k] for k in want)
+
+
+def test_template_against_brute_force(spark):
+    pages = [_soup(k, f"S{k}") if k % 10 else "<p>odd" for k in range(30)] + [_page(f"T{k}", f"t {k}", k) for k in range(30)]
+    hosts = [1] * 30 + [2] * 30
+    df = spark.createDataFrame([(h, x) for h, x in zip(hosts, pages, strict=True)], "host long, html string")
+    got = {r.host: {t.token: (t["class"], t.root) for t in r.template} for r in extraction.templates(df, share=0.5).collect()}
+    for host in (1, 2):
+        seen, distinct = defaultdict(dict), {}
+        for h, x in zip(hosts, pages, strict=True):
+            tags, blocks = extraction.parse(x)
+            if h == host:
+                distinct[extraction.page_key(x, blocks)] = Counter([t for t, _ in tags] + [extraction._text_token(b) for b in blocks])
+        for k, tokens in distinct.items():
+            for t, n in tokens.items():
+                seen[t][k] = max(n, seen[t].get(k, 0))
+        most = max(len(v) for v in seen.values())
+        want = {t: frozenset(v.items()) for t, v in seen.items() if len(v) >= 5 and len(v) >= 0.5 * most}
+        assert set(got[host]) == set(want)
+        for a in want:  # one class for one occurrence vector, and the root is what all pages have once
+            assert got[host][a][1] == (len(want[a]) == most and all(n == 1 for _, n in want[a]))
+            for b in want:
+                assert (got[host][a][0] == got[host][b][0]) == (want[a] == want[b])
+
+
+def test_near_copies_keep_shared_paragraphs(spark):
+    """A host whose pages are near copies of one article: what they share is the article, not its template."""
+    shared = "<p>Water rises twice a day along this coast, as the tables say.<p>Boats leave at dawn and come back with the tide."
+    rows = [(k, f"http://mirror.example/{k}", f"<body><div class='site-header'>Home</div><article><h1>The tide</h1>{shared}<p>Seen {k}.</article></body>") for k in range(9)]
+    got = {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"The tide Water rises twice a day along this coast, as the tables say. Boats leave at dawn and come back with the tide. Seen {k}." for k in range(9)}
+
+
+def test_nothing_else_is_dropped():
+    two = "<article><p>A long first part of the story</p></article><article><p>short</p></article><p>not in it"
+    assert extraction.main_text(two) == "A long first part of the story short"
+    assert extraction.main_text("<p class='social-history'>kept<p class='notice-of-award'>too<p class='site-nav'>not<p class='notice'>nor") == "kept too"
+    assert extraction.main_text("<h2><a href='/x'>A headline that is a link</a></h2><p>text") == "A headline that is a link text"
+    assert extraction.main_text("a < b and <3 but <b>bold</b> &lt;i&gt;") == "a < b and <3 but bold <i>"
+    assert extraction.main_text("<p title='a > b'>x<br>y<p title=\"it's\">z") == "x y z"
+
+
+def test_markup_in_linear_time():
+    import time
+
+    for text in ("<a " * 700_000, '<p a="x ' * 250_000, "<b>" * 300_000 + "<div>" * 200_000, "<" * 2_000_000, "<a " + "x" * 2_000_000 + ">", "<!--" * 500_000, "<table><tr><td>" * 100_000, "<p>" + "word " * 400_000):
+        began = time.perf_counter()
+        extraction.main_text(text)
+        assert time.perf_counter() - began < 20, text[:20]
+
+
 # sharding ------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("cell", [200_000, 3])
 def test_sharding(docs, nothing, cell):
