@@ -345,7 +345,7 @@ def slot_model(pages: DataFrame, variety: float = 0.5, most_fixed: float = 0.5)
     texts = rows.groupBy("host", "slot", "digest", "fixed").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     slots = texts.groupBy("host", "slot").agg(F.count_if(F.col("fixed") == 0).alias("kinds"), F.coalesce(F.sum(F.when(F.col("fixed") == 0, F.col("n"))), F.lit(0)).alias("n"),
                                               F.coalesce(F.sum(F.when(F.col("fixed") == 0, F.col("chars"))), F.lit(0)).alias("chars"), F.sum(F.col("chars") * F.col("fixed")).alias("fixed"))
-    slots = slots.withColumn("varied", F.coalesce(F.try_divide("kinds", "n"), F.lit(0.0)))
+    slots = checkpointed(slots.withColumn("varied", F.coalesce(F.try_divide("kinds", "n"), F.lit(0.0))))  # read twice
     best = slots.groupBy("host").agg(F.max_by("varied", "chars").alias("best"), (F.sum("fixed") > most_fixed * F.sum(F.col("chars") + F.col("fixed"))).alias("keep_fixed"))
     dull = slots.join(best, "host").groupBy("host", "keep_fixed").agg(F.collect_list(F.when((F.col("n") > 0) & (F.col("varied") < variety * F.col("best")), F.col("slot"))).alias("dull"))
     return dull.select("host", "dull", "keep_fixed")  # a host has no more slots than root tokens
