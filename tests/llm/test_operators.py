@@ -380,6 +380,28 @@ def test_embeddings(spark, block):
     assert some(embedding.embedding_links(df, block=block), "vec_id", "n_links", "component_id", "kept") == _brute_links(rows)
 
 
+def test_dedup_embeddings(spark):
+    rows = _vectors()
+    extra = [(None, [1.0] * 15 + [float(k)], 7) for k in (100, -100)] + [rows[9]]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows + extra)], "vec_id long, embedding array<float>, label int, row_key int")
+    out = embedding.dedup_embeddings(df).collect()
+    kept = {i for i, _, _, k in _brute_links(rows) if k and i is not None}
+    assert sorted(r.vec_id for r in out if r.vec_id is not None) == sorted(kept) and sum(r.vec_id is None for r in out) == 2
+    assert out[0].row_key is not None
+
+
+def test_rows_sent_grow_with_the_label(spark):
+    """Separated clusters: what is dealt to tasks grows as the classes do, not as their square."""
+    rng = np.random.default_rng(3)
+    sent = []
+    for n in (2000, 8000):
+        centres = rng.normal(size=(n // 50, 12))
+        x = np.repeat(centres, 50, axis=0) + 0.02 * rng.normal(size=(n, 12))
+        df = spark.createDataFrame([("a", 12, k, 1, v.tolist()) for k, v in enumerate(x)], "label string, size long, cid long, n long, vec array<double>")
+        sent.append(embedding.deal(df, 0.93, 64).count() / n)
+    assert sent[1] < 1.6 * sent[0], sent
+
+
 def test_embeddings_empty(spark):
     assert embedding.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

@@ -1,24 +1,27 @@
 """Embedding near-dedup: exact threshold pairs by cover trees and dual traversal.
 
 Equal vectors of a label are one class. A label's classes fall into cells, each class to its nearest pivot; a class also
-visits a later cell whose covering radius lets it hold a vector within the threshold. Cells are cut into blocks of bounded
-size; each task builds cover trees of the blocks it pairs and traverses both. A task returns a count for each class and a
-spanning forest of its links, never a list of pairs.
+visits a later cell whose covering radius lets it hold a vector within the threshold. Cells and their visitors are cut into
+blocks of bounded size; only blocks that have visitors meet them. Each task builds cover trees of the two blocks it has and
+traverses both. A task returns a count for each class and a spanning forest of its links, never a list of pairs.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, own_names, row_key
 from tidemark.llm.components import components
 from tidemark.llm.covertree import SLACK, linked
 
-#: Classes of a block, about; a label has a pivot for each so many classes.
-BLOCK = 2048
+#: Classes of a block, about; a label has a pivot for each so many classes, MAX_PIVOTS at most (cells are larger beyond that).
+BLOCK, MAX_PIVOTS = 2048, 1024
+#: Classes that one task compares with a label's pivots.
+GROUP = 16_384
+KEY = ["label", "size"]
 
 
 def _unit(vectors) -> np.ndarray:
@@ -26,51 +29,71 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _cells(batches):
-    """(cid, n, vec, label, size, cell, far): the nearest pivot and the distance to it."""
-    for pdf in batches:
-        out_cell, out_far = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf))
-        for _, rows in pdf.reset_index(drop=True).groupby(["label", "size"]).groups.items():
-            at = np.asarray(rows)
-            x, p = _unit(pdf["vec"].to_numpy()[at]), _unit(list(pdf["pivots"].iloc[at[0]]))
-            cos = x @ p.T
-            cell = cos.argmax(axis=1)
-            out_cell[at] = cell
-            out_far[at] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[np.arange(len(at)), cell]))
-        yield pdf[["cid", "n", "vec", "label", "size", "pivots"]].assign(cell=out_cell, far=out_far)
+def _cells(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """The nearest pivot of each class and the distance to it."""
+    pivots = pivots.sort_values("cell")
+    if not len(rows):
+        return pd.DataFrame({c: [] for c in ("label", "size", "cid", "n", "vec", "bucket", "cell", "far")})
+    cos = _unit(rows["vec"]) @ _unit(pivots["vec"]).T
+    at = cos.argmax(axis=1)
+    far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[np.arange(len(at)), at]))
+    return rows[["label", "size", "cid", "n", "vec", "bucket"]].assign(cell=pivots["cell"].to_numpy()[at], far=far)
 
 
-def _deal(cosine: float, block: int):
+def _visitors(cosine: float):
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
 
-    def run(batches):
-        """(label, size, cell, kind, a, b, side, cid, n, vec): each class once for every pair of blocks that it is part of."""
-        for pdf in batches:
-            rows = []
-            for (label, size), part in pdf.groupby(["label", "size"]):
-                first = part.iloc[0]
-                radius, count = np.asarray(first["radii"]), np.asarray(first["counts"])
-                blocks = np.maximum(1, -(-count // (2 * block)))
-                chunks = max(1, -(-int(count.sum()) // (2 * block)))
-                x = _unit(part["vec"].to_numpy())
-                away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ _unit(list(first["pivots"])).T)))
-                for k, (cid, n, vec, cell) in enumerate(zip(part["cid"], part["n"], part["vec"], part["cell"], strict=True)):
-                    own, many = int(cid * 0x9E3779B97F4A7C15 >> 20) % int(blocks[cell]), int(blocks[cell])
-                    for o in range(many):
-                        rows.append((label, size, cell, 0, min(own, o), max(own, o), int(own > o), cid, n, vec))
-                    q = int(cid * 0xBF58476D1CE4E5B9 >> 20) % chunks
-                    if cell > 0 or len(count) > 1:
-                        for c in range(chunks) if cell > 0 else ():
-                            rows.append((label, size, cell, 1, own, c, 0, cid, n, vec))
-                        for later in np.flatnonzero(away[k] <= radius + reach + SLACK).tolist():
-                            if later > cell:
-                                for s in range(int(blocks[later])):
-                                    rows.append((label, size, later, 1, s, q, 1, cid, n, vec))
-            yield pd.DataFrame(rows, columns=["label", "size", "cell", "kind", "a", "b", "side", "cid", "n", "vec"])
+    def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        """A row for each later cell that may hold a vector within the threshold of a class."""
+        pivots, cols = pivots.sort_values("cell"), ["label", "size", "cid", "n", "vec"]
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in (*cols, "cell")})
+        cell = pivots["cell"].to_numpy()
+        away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_unit(rows["vec"]) @ _unit(pivots["vec"]).T)))
+        who, where = np.nonzero((away <= pivots["radius"].to_numpy()[None, :] + reach + SLACK) & (cell[None, :] > rows["cell"].to_numpy()[:, None]) & (pivots["count"].to_numpy() > 0)[None, :])
+        return rows[cols].iloc[who].assign(cell=cell[where])
 
     return run
 
 
+def _units(celled: DataFrame, visitors: DataFrame, block: int) -> DataFrame:
+    """(label, size, cell, kind, a, b, side, cid, n, vec): each class once for every pair of blocks that it is part of.
+
+    kind 0 pairs the blocks of a cell with each other, kind 1 with blocks of the cell's visitors.
+    """
+    cols = [*KEY, "cell", "kind", "a", "b", "side", "cid", "n", "vec"]
+    many = celled.groupBy(*KEY, "cell").agg(F.ceil(F.count("*") / (2 * block)).alias("blocks"))
+    guests = visitors.groupBy(*KEY, "cell").agg(F.ceil(F.count("*") / (2 * block)).alias("chunks"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    home = celled.join(many, [*KEY, "cell"]).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")))
+    inside = home.withColumn("other", up_to("blocks")).withColumns({"kind": F.lit(0), "a": F.least("own", "other"), "b": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    hosts = home.join(guests, [*KEY, "cell"]).withColumn("b", up_to("chunks")).withColumns({"kind": F.lit(1), "a": F.col("own"), "side": F.lit(0)})
+    come = visitors.join(many, [*KEY, "cell"]).join(guests, [*KEY, "cell"]).withColumn("a", up_to("blocks"))
+    come = come.withColumns({"kind": F.lit(1), "b": F.pmod(F.xxhash64("cid", F.lit(2)), F.col("chunks")), "side": F.lit(1)})
+    return inside.select(*cols).union(hosts.select(*cols)).union(come.select(*cols))
+
+
+def deal(classes: DataFrame, cosine: float, block: int) -> DataFrame:
+    """The units of all labels. classes: label, size, cid, n, vec. A label of at most `block` classes is one cell."""
+    counts = classes.groupBy(*KEY).agg(F.count("*").alias("total"), F.min("cid").alias("least"))
+    named = classes.join(counts, KEY)
+    one = named.where(F.col("total") <= block).select(*KEY, F.lit(0).cast("long").alias("cell"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "cid", "n", "vec")
+    large = named.where(F.col("total") > block).withColumn("buckets", F.ceil(F.col("total") / GROUP)).withColumn("bucket", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("buckets")))
+    every = F.greatest(F.lit(block).cast("long"), F.ceil(F.col("total") / MAX_PIVOTS))
+    pivots = large.where((F.col("cid") == F.col("least")) | (F.pmod(F.xxhash64("cid"), every) == 0))
+    pivots = pivots.select(*KEY, "vec", "buckets", (F.row_number().over(Window.partitionBy(*KEY).orderBy("cid")) - 1).cast("long").alias("cell"))  # some MAX_PIVOTS rows a label
+    pivots = checkpointed(pivots)
+    own_columns = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    spread = lambda df: own_columns(df.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))).groupBy(*KEY, "bucket")
+    schema = "label string, size long, cid long, n long, vec array<double>"
+    celled = large.groupBy(*KEY, "bucket").cogroup(spread(pivots)).applyInPandas(_cells, f"{schema}, bucket long, cell long, far double")
+    celled = checkpointed(celled)
+    seen = celled.groupBy(*KEY, "cell").agg(F.max("far").alias("radius"), F.count("*").alias("count"))
+    shaped = pivots.join(seen, [*KEY, "cell"], "left").fillna({"radius": 0.0, "count": 0})
+    visitors = checkpointed(celled.groupBy(*KEY, "bucket").cogroup(spread(shaped)).applyInPandas(_visitors(cosine), f"{schema}, cell long"))
+    return one.union(_units(celled, visitors, block))
+
+
 def _traverse(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, same = int(pdf["kind"].iloc[0]), int(pdf["kind"].iloc[0]) == 0 and int(pdf["a"].iloc[0]) == int(pdf["b"].iloc[0])
@@ -91,46 +114,51 @@ def _traverse(cosine: float):
     return run
 
 
-def embedding_links(rows: DataFrame, cosine: float = 0.93, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row.
-
-    Rows link if their labels are equal and not null and their cosine, in double precision, is at least `cosine`. Vectors
-    that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
-    lengths. Copies count as links. component_id is the smallest id reachable; a row with a null id takes part, and without
-    any id in its component gets null; kept is true where it is the row's own id. An empty table gives no rows.
-    """
+def _linked_rows(rows: DataFrame, cosine: float = 0.93, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """Every row's id, a digest of its id, label and vector, links and component."""
     vec = F.col(f"`{vector_col}`").cast("array<double>")
-    src = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), vec.alias("vec"))
+    key, label = F.col(f"`{id_col}`").cast("long"), F.col(f"`{label_col}`").cast("string")
+    src = rows.select(key.alias("id"), row_key(key, label, vec).alias("row"), label.alias("label"), vec.alias("vec"))
     fine = (F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
             & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0))
     src = src.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("key", F.xxhash64("label", "vec"))
     classes = src.where("fine").groupBy("label", "key", "vec").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("size", F.size("vec")))
-    counts = classes.groupBy("label", "size").agg(F.count("*").alias("total"), F.min("cid").alias("least"))
-    named = classes.join(counts, ["label", "size"])
-    pivot = (F.col("cid") == F.col("least")) | ((F.col("total") > block) & (F.pmod(F.xxhash64("cid"), F.lit(block)) == 0))
-    pivots = named.where(pivot).groupBy("label", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("cid", "vec"))), lambda s: s["vec"]).alias("pivots"))
-    schema = "cid long, n long, vec array<double>, label string, size int, pivots array<array<double>>, cell long, far double"
-    celled = classes.select("cid", "n", "vec", "label", "size").join(pivots, ["label", "size"]).mapInPandas(_cells, schema).drop("pivots")
-    celled = checkpointed(celled)
-    seen = celled.groupBy("label", "size", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n"))
-    shape = pivots.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), (F.size("pivots") - 1).cast("long")))).select("label", "size", "cell")
-    shape = shape.join(seen, ["label", "size", "cell"], "left").groupBy("label", "size").agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("s"))
-    shape = shape.select("label", "size", F.transform("s", lambda s: s["far"]).alias("radii"), F.transform("s", lambda s: s["n"]).alias("counts"))
-    ready = celled.join(pivots.join(shape, ["label", "size"]), ["label", "size"])
-    units = ready.mapInPandas(_deal(cosine, block), "label string, size long, cell long, kind long, a long, b long, side long, cid long, n long, vec array<double>")
+    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("size", F.size("vec").cast("long")))
+    units = deal(classes.select(*KEY, "cid", "n", "vec"), cosine, block)
     found = checkpointed(units.groupBy("label", "size", "cell", "kind", "a", "b").applyInPandas(_traverse(cosine), "what long, x long, y long"))
     links = found.where("what = 0").groupBy(F.col("x").alias("cid")).agg(F.sum("y").alias("links"))
     roots = components(found.where("what = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "cid")
     known = classes.select("cid", "label", "key", "vec", "first", "n").join(links, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     low = known.groupBy("root").agg(F.min("first").alias("component_id"))
     known = known.join(low, "root").select("label", "key", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    good = src.where("fine").join(known, ["label", "key", "vec"]).select("id", "n_links", "component_id")
-    rest = src.where("NOT fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.unionByName(rest).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    good = src.where("fine").join(known, ["label", "key", "vec"]).select("id", "row", "n_links", "component_id")
+    rest = src.where("NOT fine").select("id", "row", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return good.unionByName(rest)
+
 
+def embedding_links(rows: DataFrame, cosine: float = 0.93, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row.
 
-def dedup_embeddings(rows: DataFrame, id_col: str = "vec_id", **options) -> DataFrame:
-    """rows without those that are near one with a smaller id; all columns are kept."""
-    keep = embedding_links(rows, id_col=id_col, **options).where("kept").select(F.col("vec_id").alias(id_col)).dropDuplicates()
-    return rows.join(keep, id_col, "left_semi")
+    Rows link if their labels are equal and not null and their cosine, in double precision, is at least `cosine`. Vectors
+    that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
+    lengths. Copies count as links. component_id is the smallest id reachable; a row with a null id takes part, and without
+    any id in its component gets null; kept is true where it is the row's own id. An empty table gives no rows.
+    """
+    out = _linked_rows(rows, cosine, block, id_col, vector_col, label_col)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def dedup_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
+    """rows without those that a chain of links ties to one with a smaller id; all columns are kept.
+
+    Of rows with equal id, label and vector one stays. Rows without an id stay only where no row tied to them has one, and then
+    all do but repeated ones, as no id orders them. Vectors that link with nothing stay.
+    """
+    digest, = own_names(rows, "row_key")
+    key, label, vec = F.col(f"`{id_col}`").cast("long"), F.col(f"`{label_col}`").cast("string"), F.col(f"`{vector_col}`").cast("array<double>")
+    keep = _linked_rows(rows, id_col=id_col, vector_col=vector_col, label_col=label_col, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
+    keep = keep.groupBy("row").agg(F.count("*").alias("n"))
+    keyed, cols = rows.withColumn(digest, row_key(key, label, vec)), [F.col(f"`{c}`") for c in rows.columns]
+    once = keyed.join(keep.where("n = 1").select(F.col("row").alias(digest)), digest, "left_semi").select(*cols)
+    more = keyed.join(keep.where("n > 1").select(F.col("row").alias(digest)), digest, "left_semi").dropDuplicates([digest]).select(*cols)
+    return once.unionByName(more)
