@@ -52,8 +52,6 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(_plain()[0]) - set(_plain()[1])))
 def test_runs(spark, name):
-    if name in ("feature_panel", "medoids", "forest_scores"):
-        pytest.skip("long; the driver runs it")
     df = _plain()[0][name](spark, SF)
     assert df.columns and df.limit(1).count() >= 0
 

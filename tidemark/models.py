@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.semantics import demean, unit_rank
 from tidemark.operators.windows import latest
 
-#: Grids of the two ensembles; every configuration is fitted with every seed.
-GRIDS = {"rf": {"maxDepth": [3, 5], "numTrees": [50], "subsamplingRate": [0.7]}, "gbt": {"maxDepth": [2, 3], "maxIter": [30], "stepSize": [0.05, 0.1]}}
+# Grids of the two ensembles; every configuration is fitted with every seed. A forest's unlimited depth is Spark's 30;
+# Spark's boosting has no ridge penalty on leaves, so that axis (three values) is not there.
+GRIDS = {"rf": {"featureSubsetStrategy": ["sqrt", "0.33", "0.5"], "maxDepth": [3, 5, 10, 30], "minInstancesPerNode": [5, 10, 20, 50], "numTrees": [300]},
+         "gbt": {"stepSize": [0.005, 0.01, 0.03], "maxDepth": [1, 2, 3], "minInstancesPerNode": [1, 5, 10, 20], "maxIter": [300]}}
+SEEDS = (1, 2, 3)
 MODELS = {"rf": RandomForestRegressor, "gbt": GBTRegressor}
 EMBARGO_DAYS = 30
 
@@ -28,18 +31,18 @@ def split(rows: DataFrame, at, years: int, resolved_days: int, embargo: int = EM
     return rows.where(known & (F.col("asof") >= F.add_months(d, -12 * years)) & F.col("label").isNotNull()), rows.where(F.col("asof") == d)
 
 
-def configurations(kind: str) -> list[dict]:
-    g = GRIDS[kind]
+def configurations(kind: str, grid: dict | None = None) -> list[dict]:
+    g = grid or GRIDS[kind]
     return [dict(zip(g, v, strict=True)) for v in product(*g.values())]
 
 
-def ensemble(train: DataFrame, test: DataFrame, columns: list[str], kind: str = "rf", seeds=(1, 2, 3)) -> DataFrame:
+def ensemble(train: DataFrame, test: DataFrame, columns: list[str], kind: str = "rf", seeds=SEEDS, grid: dict | None = None) -> DataFrame:
     """(asof, ticker, score): the mean prediction of every configuration and seed. Fitting is Spark's own, over all rows."""
     pack = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
     fill = {c: 0.5 for c in columns}
     x, y = pack.transform(train.fillna(fill)).select("features", "label").cache(), pack.transform(test.fillna(fill)).select("asof", "ticker", "features")
     total, n = None, 0
-    for cfg in configurations(kind):
+    for cfg in configurations(kind, grid):
         for seed in seeds:
             m = MODELS[kind](featuresCol="features", labelCol="label", predictionCol=f"p{n}", seed=seed, **cfg).fit(x)
             y, n = m.transform(y), n + 1
@@ -49,14 +52,14 @@ def ensemble(train: DataFrame, test: DataFrame, columns: list[str], kind: str =
     return out
 
 
-def walk_forward(rows: DataFrame, dates: list, columns: list[str], kind: str = "rf", years: int = 5, resolved_days: int = 90, seeds=(1,)) -> DataFrame | None:
+def walk_forward(rows: DataFrame, dates: list, columns: list[str], kind: str = "rf", years: int = 5, resolved_days: int = 90, seeds=SEEDS, grid: dict | None = None) -> DataFrame | None:
     """Scores for each date by models that learnt only what was known before it; dates are the rebalance calendar, a short list."""
     out = None
     for d in dates:
         train, test = split(rows, d, years, resolved_days)
         if train.isEmpty():
             continue
-        one = ensemble(train, test, columns, kind, seeds)
+        one = ensemble(train, test, columns, kind, seeds, grid)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -61,12 +61,13 @@ def unpivot_items(t):
     return t.supplier.select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation")).unpivot(["s_suppkey"], ["balance", "nation"], "item", "value")
 
 
-@query("""WITH y AS (SELECT year(o_orderdate) AS y, sum(o_totalprice) AS total, max(o_totalprice) AS largest, CAST(NULL AS DOUBLE) AS nothing FROM orders GROUP BY 1)
-SELECT item, round(max(v) FILTER (WHERE y = 1995), 2) AS y1995, round(max(v) FILTER (WHERE y = 1996), 2) AS y1996 FROM (SELECT y, 'total' AS item, total AS v FROM y UNION ALL SELECT y, 'largest', largest FROM y) GROUP BY 1""")
+@query("""SELECT * FROM (PIVOT (SELECT 'y' || CAST(y AS VARCHAR) AS period, item, round(v, 2) AS v FROM (SELECT year(o_orderdate) AS y, 'total' AS item, sum(o_totalprice) AS v FROM orders GROUP BY 1
+ UNION ALL SELECT year(o_orderdate), 'largest', max(o_totalprice) FROM orders GROUP BY 1)) ON period USING max(v) GROUP BY item)""")
 def statement_table(t):
     y = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("total"), F.max("o_totalprice").alias("largest"), F.lit(None).cast("double").alias("nothing"))
-    out = aggregate.transpose(y, "y", ["total", "largest", "nothing"], [1995, 1996])
-    return out.select("item", F.round("1995", 2).alias("y1995"), F.round("1996", 2).alias("y1996"))
+    years = [x.y for x in y.select("y").distinct().orderBy("y").collect()]  # one a year of the calendar
+    out = aggregate.transpose(y, "y", ["total", "largest", "nothing"], years)
+    return out.select("item", *[F.round(str(x), 2).alias(f"y{x}") for x in years])
 
 
 @query(f"WITH {RETURNS} SELECT a.ticker AS a, b.ticker AS b, round(corr(a.r, b.r), 6) AS corr, round(covar_samp(a.r, b.r), 6) AS cov, count(*)::BIGINT AS n FROM ret a JOIN ret b ON a.date = b.date AND a.ticker < b.ticker GROUP BY 1, 2")

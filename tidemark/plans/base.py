@@ -54,10 +54,10 @@ BARS = """bars AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 
-def dense(t: Tables) -> DataFrame:
-    """Daily bars of eight groups of suppliers, which trade nearly every day."""
+def dense(t: Tables, groups: int = 8) -> DataFrame:
+    """Daily bars of eight groups of suppliers (or as many as are wanted), which trade nearly every day."""
     o = F.struct("l_orderkey", "l_linenumber")
-    x = t.lineitem.withColumn("p", F.col("l_extendedprice") / F.col("l_quantity")).withColumn("ticker", F.concat(F.lit("S"), (F.col("l_suppkey") % 8).cast("string")))
+    x = t.lineitem.withColumn("p", F.col("l_extendedprice") / F.col("l_quantity")).withColumn("ticker", F.concat(F.lit("S"), (F.col("l_suppkey") % groups).cast("string")))
     return x.groupBy("ticker", F.to_date("l_shipdate").alias("date")).agg(F.min_by("p", o).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", o).alias("close"), F.sum("l_quantity").alias("volume"))
 
 

@@ -58,13 +58,18 @@ def holdings(t):
 
 @query()
 def forest_scores(t):
-    """Walk-forward scores of order values from customers' past quarters."""
+    """Walk-forward scores of order values from customers' past quarters, on the first quarter of each year with three years before it.
+
+    One small configuration stands for the grid: 144 forests of 300 trees a date are a batch job, not a query.
+    """
     from tidemark import models
 
     q = t.orders.groupBy(F.col("o_custkey").cast("string").alias("ticker"), F.to_date(F.trunc("o_orderdate", "quarter")).alias("asof")).agg(F.avg("o_totalprice").alias("v"), F.count("*").alias("n"))
     w = Window.partitionBy("ticker").orderBy("asof")
     x = q.withColumn("a", F.try_divide("v", F.lag("v").over(w)) - 1).withColumn("b", F.col("n").cast("double")).withColumn("label", F.try_divide(F.lead("v").over(w), F.col("v")) - 1)
-    out = models.walk_forward(x, ["1999-01-01"], ["a", "b"], "rf", years=3, resolved_days=90)
+    ends = q.agg(F.year(F.min("asof")).alias("a"), F.year(F.max("asof")).alias("b")).first()
+    dates = [f"{y}-01-01" for y in range(ends.a + 3, ends.b + 1)]
+    out = models.walk_forward(x, dates, ["a", "b"], "rf", years=3, resolved_days=90, seeds=(1,), grid={"maxDepth": [5], "minInstancesPerNode": [20], "numTrees": [20]})
     return models.score_weights(out).select(F.date_format("asof", "yyyy-MM-dd").alias("asof"), "ticker", r("weight", 4).alias("weight"))
 
 

@@ -109,11 +109,11 @@ def momentum_topk(t):
     return top_by_signal(x, "m", "p", "mom", 5).select("m", "p", r("mom").alias("mom"))
 
 
-@query("""WITH e AS (SELECT user_id AS ticker, event_id AS i, CASE WHEN event_id % 13 = 0 THEN value * 100 ELSE value + 50 END AS close FROM events WHERE event_type = 'click'), n AS (SELECT *, lead(close) OVER (PARTITION BY ticker ORDER BY i) / close AS rr FROM e),
+@query("""WITH e AS (SELECT user_id AS ticker, event_id AS i, CASE WHEN event_id % 13 = 0 THEN value * 100 ELSE value + 50 END AS close FROM events), n AS (SELECT *, lead(close) OVER (PARTITION BY ticker ORDER BY i) / close AS rr FROM e),
 f AS (SELECT *, CASE WHEN abs(rr / 100 - 1) <= 0.1 THEN 1 WHEN abs(rr * 100 - 1) <= 0.1 THEN -1 ELSE 0 END AS fl FROM n), s AS (SELECT *, sum(fl) OVER (PARTITION BY ticker ORDER BY i DESC) AS pw FROM f)
 SELECT ticker, i, CASE WHEN abs(pw) <= 1 THEN power(100.0, pw) ELSE 1.0 END AS unit_factor FROM s""")
 def unit_factor(t):
-    e = t.events.where("event_type = 'click'").select(F.col("user_id").alias("ticker"), F.col("event_id").alias("i"), F.when(F.col("event_id") % 13 == 0, F.col("value") * 100).otherwise(F.col("value") + 50).alias("close"))
+    e = t.events.select(F.col("user_id").alias("ticker"), F.col("event_id").alias("i"), F.when(F.col("event_id") % 13 == 0, F.col("value") * 100).otherwise(F.col("value") + 50).alias("close"))
     return prices.unit_factors(e, order="i").select("ticker", "i", "unit_factor")
 
 
@@ -123,19 +123,24 @@ def spike_flag(t):
     return prices.spike_days(e, order="i").where("spike").select("ticker", "i")
 
 
+def _month_ends(p):
+    """The last trading day of each month."""
+    return p.groupBy(F.trunc("date", "month").alias("m")).agg(F.max("date").alias("asof")).select("asof")
+
+
 @query(f"""WITH {DENSE}, g AS (SELECT ticker, d.date FROM (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY 1) t JOIN (SELECT DISTINCT date FROM bars) d ON d.date BETWEEN a AND b),
- h AS (SELECT ticker, date, close, volume, close / lag(close) OVER w - 1 AS ret FROM g LEFT JOIN bars USING (ticker, date) WINDOW w AS (PARTITION BY ticker ORDER BY date)), c AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS k FROM (SELECT DISTINCT date FROM bars WHERE date <= DATE '1998-12-31')),
-t AS (SELECT h.*, k FROM h JOIN c USING (date) WHERE k < 300) SELECT ticker, round(max(close) FILTER (WHERE k = 0) / max(close) FILTER (WHERE k = 21) - 1, 6) AS mom_1m, round(max(close) FILTER (WHERE k = 21) / max(close) FILTER (WHERE k = 252) - 1, 6) AS mom_12_1,
+ h AS (SELECT ticker, date, close, volume, close / lag(close) OVER w - 1 AS ret FROM g LEFT JOIN bars USING (ticker, date) WINDOW w AS (PARTITION BY ticker ORDER BY date)), d AS (SELECT DISTINCT date FROM bars), a AS (SELECT max(date) AS as_of FROM d GROUP BY date_trunc('month', date)), c AS (SELECT as_of, date, row_number() OVER (PARTITION BY as_of ORDER BY date DESC) - 1 AS k FROM d JOIN a ON date <= as_of),
+t AS (SELECT h.*, k, as_of FROM h JOIN c USING (date) WHERE k < 300), f AS (SELECT CAST(as_of AS VARCHAR) AS as_of, ticker, max(k) AS top, round(max(close) FILTER (WHERE k = 0) / max(close) FILTER (WHERE k = 21) - 1, 6) AS mom_1m, round(max(close) FILTER (WHERE k = 21) / max(close) FILTER (WHERE k = 252) - 1, 6) AS mom_12_1,
  round(max(close) FILTER (WHERE k = 0) / max(close) FILTER (WHERE k < 252) - 1, 6) AS dist_52w_high, round(avg(close) FILTER (WHERE k < 50) / avg(close) FILTER (WHERE k < 200) - 1, 6) AS ma_ratio_50_200, round(regr_r2(ln(close), -k) FILTER (WHERE k < 126), 6) AS trend_r2_6m,
  round(stddev_samp(ret) FILTER (WHERE k < 63) * sqrt(252), 6) AS vol_3m, round(skewness(ret) FILTER (WHERE k < 126), 6) AS ret_skew_6m, round(kurtosis(ret) FILTER (WHERE k < 126), 6) AS ret_kurt_6m, round(quantile_cont(ret, 0.05) FILTER (WHERE k < 252), 6) AS var_95_12m,
- round(avg(volume) FILTER (WHERE k < 5) / avg(volume) FILTER (WHERE k < 60), 6) AS volume_shock FROM t GROUP BY 1 HAVING count(close) FILTER (WHERE k < 252) >= 0.9 * 252""")
+ round(avg(volume) FILTER (WHERE k < 5) / avg(volume) FILTER (WHERE k < 60), 6) AS volume_shock FROM t GROUP BY 1, 2 HAVING count(close) FILTER (WHERE k < 252) >= 0.9 * 252)
+SELECT * EXCLUDE (top) FROM f QUALIFY count(*) OVER (PARTITION BY as_of) >= 2 AND max(top) OVER (PARTITION BY as_of) >= 299""")
 def features_raw(t):
     from tidemark import features
 
     p = features.on_calendar(dense(t).withColumn("raw", F.col("close")))
-    a = t.spark.createDataFrame([("1998-12-31",)], "d string").select(F.col("d").cast("date").alias("asof"))
-    out = features.features(p, a)
-    return out.select("ticker", *[r(c).alias(c) for c in ("mom_1m", "mom_12_1", "dist_52w_high", "ma_ratio_50_200", "trend_r2_6m", "vol_3m", "ret_skew_6m", "ret_kurt_6m", "var_95_12m", "volume_shock")])
+    out = features.features(p, _month_ends(p))
+    return out.select(F.date_format("asof", "yyyy-MM-dd").alias("as_of"), "ticker", *[r(c).alias(c) for c in ("mom_1m", "mom_12_1", "dist_52w_high", "ma_ratio_50_200", "trend_r2_6m", "vol_3m", "ret_skew_6m", "ret_kurt_6m", "var_95_12m", "volume_shock")])
 
 
 @query()
@@ -143,17 +148,11 @@ def feature_panel(t):
     from tidemark import features
 
     p = dense(t).withColumn("adj_close", F.col("close"))
-    a = t.spark.createDataFrame([("1997-06-30",), ("1998-12-31",)], "d string").select(F.col("d").cast("date").alias("asof"))
-    f = features.feature_panel(p, a)
+    f = features.feature_panel(p, _month_ends(p))
     return f.select(F.date_format("asof", "yyyy-MM-dd").alias("asof"), "ticker", *[r(c).alias(c) for c in features.FEATURES])
 
 
-_MONTHLY = """px AS (SELECT p_brand AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2)"""
-
-
-def _monthly(t):
-    """The months that _MONTHLY names."""
-    return _months(t).where((F.col("date") >= F.lit("1995-01-01").cast("date")) & (F.col("date") < F.lit("2000-01-01").cast("date")))
+_MONTHLY = """px AS (SELECT p_brand AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 
 def _months(t):
@@ -171,7 +170,7 @@ SELECT z.date, round(ln(1 + gross - coalesce(turnover * 0.001, 0)), 6) AS log_re
 def portfolio_drift(t):
     from tidemark import portfolio
 
-    px = _monthly(t)
+    px = _months(t)
     n = portfolio.equal_targets(px.where(F.month("date") == 1)).withColumnRenamed("date", "rebalance")
     s = portfolio.simulate(n, px)
     return s["returns"].join(s["turnover"].withColumnRenamed("rebalance", "date"), "date", "left").select("date", r("log_return").alias("log_return"), r("turnover").alias("turnover"))
@@ -182,7 +181,7 @@ SELECT ticker, date, coalesce(lag(s) OVER w, 0) AS position, round(coalesce(lag(
 def golden_cross(t):
     from tidemark import portfolio
 
-    return portfolio.golden_cross(_monthly(t), 3, 9).select("ticker", "date", "position", r("strategy_return").alias("strategy_return"))
+    return portfolio.golden_cross(_months(t), 3, 9).select("ticker", "date", "position", r("strategy_return").alias("strategy_return"))
 
 
 def _estimates(t, method):
@@ -216,7 +215,7 @@ SELECT date, round(corr(a, b), 6) AS ic, count(*)::BIGINT AS n FROM k GROUP BY 1
 def rank_ic(t):
     from tidemark import features
 
-    px = _monthly(t)
+    px = _months(t)
     w = Window.partitionBy("ticker").orderBy("date")
     s = px.select("ticker", "date", (F.try_divide(F.col("close"), F.lag("close", 3).over(w)) - 1).alias("s"))
     f = s.join(features.forward_returns(px, 3), ["ticker", "date"])

@@ -24,11 +24,11 @@ def recency_filter(t):
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owing' WHEN c_acctbal < 1000 THEN 'low' WHEN c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS band,
- CASE WHEN c_acctbal > 0 THEN c_acctbal END AS positive FROM customer WHERE regexp_matches(c_name, '[05]$') OR ends_with(c_name, '7')""")
+ CASE WHEN c_acctbal > 0 THEN c_acctbal END AS positive, regexp_matches(c_name, '[05]$') AS round_name, ends_with(c_name, '7') AS seventh FROM customer""")
 def case_ladder(t):
     c = F.col("c_acctbal")
     band = F.when(c < 0, "owing").when(c < 1000, "low").when(c < 5000, "mid").otherwise("high")
-    return t.customer.where(F.col("c_name").rlike("[05]$") | F.col("c_name").endswith("7")).select("c_custkey", band.alias("band"), F.when(c > 0, c).alias("positive"))
+    return t.customer.select("c_custkey", band.alias("band"), F.when(c > 0, c).alias("positive"), F.col("c_name").rlike("[05]$").alias("round_name"), F.col("c_name").endswith("7").alias("seventh"))
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS big FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -38,11 +38,10 @@ def confirmation(t):
 
 
 def _as(t, names):
-    """The dense bars under the tickers of a rule set."""
-    e = F.lit(None).cast("string")
-    for i, n in enumerate(names):
-        e = F.when(F.col("ticker") == f"S{i}", F.lit(n)).otherwise(e)
-    return dense(t).select(F.lit("m").alias("market"), "date", e.alias("ticker"), "close").where("ticker IS NOT NULL")
+    """The whole line items as daily closes of a rule set's tickers: the bars of as many groups of suppliers as it has."""
+    names = list(names)
+    e = F.element_at(F.array(*[F.lit(n) for n in names]), (F.substring("ticker", 2, 9).cast("int") + 1))
+    return dense(t, len(names)).select(F.lit("m").alias("market"), "date", e.alias("ticker"), "close")
 
 
 def _dated(df, *cols):
@@ -62,12 +61,12 @@ def bond_regime(t):
 
 @query()
 def forex_regime(t):
-    return _dated(rules.forex_regime(_as(t, [*rules.FOREX, "USDMXN=X", "USDINR=X"]), least_pairs=3), "usd_regime", "carry_regime", "jpy_regime", "europe_regime", "em_regime", "forex_regime")
+    return _dated(rules.forex_regime(_as(t, [*rules.FOREX, *rules.EMERGING])), "usd_regime", "carry_regime", "jpy_regime", "europe_regime", "em_regime", "forex_regime")
 
 
 @query()
 def commodity_regime(t):
-    return _dated(rules.commodity_regime(_as(t, list(rules.COMMODITIES)[:8])), r("score_smooth").alias("score_smooth"), "commodity_regime")
+    return _dated(rules.commodity_regime(_as(t, rules.COMMODITIES)), r("score_smooth").alias("score_smooth"), "commodity_regime")
 
 
 @query()
