@@ -196,10 +196,20 @@ def test_license(spark):
     assert got == sorted([("a/LICENSE", "MIT", "file", None), ("a/b/x.py", "MIT", "inherited", "a"), ("a/b/x.py", "MIT", "inherited", "a"), ("a/b/y.py", "Apache-2.0", "header", None), ("a/b/c/z.py", "MIT", "inherited", "a"), ("q/r.py", None, None, None),
                           ("q/mit.txt", None, None, None), (None, "CC-BY-NC-4.0", "file", None), ("top", None, None, None)], key=str)
     assert license.license_scan(df.where("false")).count() == 0
-    _, _, vectors = license.weights(license.TEMPLATES)
-    keep = license.anchors(vectors, 0.8, {"mit": 10**6, "the": 10**7})
-    for _, v in vectors:  # a text without anchors stays below the threshold whatever the frequencies were
-        assert sum(w * w for t, w in v.items() if t not in keep) < 0.64
+
+
+def test_license_files_and_headers(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Foo Bar\n\n" + license._GRANT_MIT.replace(", ", ",\n") + "\n\n" + license._AS_IS_MIT
+    bsd = "Copyright (c) 2019, Somebody\nAll rights reserved.\n\n" + license._TERMS_BSD + "\n\n" + license._THIRD_BSD + "\n\n" + license._AS_IS_BSD
+    notice = "# " + license._FREE.format("program", "General Public License", "3").replace("; ", ": ", 1).replace(" and/or", "\n# and/or") + "\n\nimport os\n" + "value = compute(value, other)\n" * 60
+    long = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + "The precise terms and conditions for copying follow here. " * 400
+    rows = [("r/LICENSE", mit), ("r/src/a.py", "x = 1"), ("r/lib/LICENSE.txt", bsd), ("r/lib/deep/b.py", None), ("r/lib/c.py", "// SPDX-License-Identifier: Apache-2.0\ncode"), ("g/COPYING", long), ("g/d/e.c", "int main"), ("g/d/f.c", notice),
+            ("n/a.py", "Released under the MIT License. Copyright 2020 Foo Bar Inc., all of it\nmore"), ("n/b.py", "we have a license to say nothing of the kind"), ("n/c.py", "/* " + license._APACHE.replace(". ", ".\n * ") + " */\n" + "value = compute(value, other)\n" * 60)]
+    got = {r.path: (r.license, r.license_basis, r.license_dir) for r in license.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"r/LICENSE": ("MIT", "file", None), "r/src/a.py": ("MIT", "inherited", "r"), "r/lib/LICENSE.txt": ("BSD-3-Clause", "file", None), "r/lib/deep/b.py": ("BSD-3-Clause", "inherited", "r/lib"),
+                   "r/lib/c.py": ("Apache-2.0", "header", None), "g/COPYING": ("GPL-3.0", "file", None), "g/d/e.c": ("GPL-3.0", "inherited", "g"), "g/d/f.c": ("GPL-3.0", "header", None),
+                   "n/a.py": ("MIT", "header", None), "n/b.py": (None, None, None), "n/c.py": ("Apache-2.0", "header", None)}
+    assert all(any(m in t.lower() for m in license.MARKERS) for _, t in license.TEMPLATES)
 
 
 # SimHash -------------------------------------------------------------------------------------------------------------

@@ -97,21 +97,24 @@ FROM v JOIN r ON r.a = v.vec_id GROUP BY v.vec_id"""
 
 
 def _op3_sql() -> str:
-    """The plain product: every line and every text against every template, then the nearest directory."""
+    """The plain product: every text and part of one against every template, then the nearest directory."""
     idf, other, vectors = license.weights(license.TEMPLATES)
     rows = ", ".join(f"({k}, '{name}', '{t}', {idf[t]!r}::DOUBLE, {w!r}::DOUBLE)" for k, (name, v) in enumerate(vectors) for t, w in sorted(v.items()))
+    marked = " OR ".join(f"contains(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{m}')" for m in license.MARKERS)
     return rf"""
 WITH tpl(k, license, term, idf, w) AS (VALUES {rows}), idfs AS (SELECT DISTINCT term, idf FROM tpl),
 f AS (SELECT doc_id, source || '/' || lang AS dir, source || '/' || lang || '/' || doc_id AS path, text FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS body, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f)),
-u AS (SELECT doc_id, line, body FROM l UNION ALL SELECT doc_id, 0, text FROM f),
-t AS (SELECT doc_id, line, term, count(*) AS n FROM (SELECT doc_id, line, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license.TERM}')) AS term FROM u) GROUP BY ALL),
-x AS (SELECT doc_id, line, term, n * coalesce(idf, {other!r}::DOUBLE) AS x FROM t LEFT JOIN idfs USING (term)),
-nrm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
-s AS (SELECT x.doc_id, x.line, k, license, sum(x.x * tpl.w) / any_value(norm) AS score FROM x JOIN tpl USING (term) JOIN nrm USING (doc_id, line) GROUP BY ALL HAVING sum(x.x * tpl.w) / any_value(norm) >= 0.8),
-b AS (SELECT doc_id, line, license, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, k) = 1),
-w AS (SELECT doc_id, license, score FROM b WHERE line = 0),
-h AS (SELECT doc_id, license, score FROM b WHERE line > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) = 1),
+named AS (SELECT doc_id, regexp_matches(path, '{license.FILE_NAME}') AS named FROM f),
+parts AS (SELECT doc_id, 2 AS kind, string_split_regex(text, '\n[ \t\r]*\n') AS ps FROM f UNION ALL SELECT doc_id, 3, string_split(text, chr(10)) FROM f UNION ALL SELECT doc_id, 4, string_split_regex(text, '[.;][ \t]+|\n') FROM f),
+u AS (SELECT * FROM (SELECT doc_id, kind, unnest(ps) AS body, generate_subscripts(ps, 1) AS pos FROM parts UNION ALL SELECT doc_id, 0, text, 1 FROM f) WHERE {marked}),
+t AS (SELECT doc_id, kind, pos, term, count(*) AS n FROM (SELECT doc_id, kind, pos, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license.TERM}')) AS term FROM u) GROUP BY ALL),
+x AS (SELECT doc_id, kind, pos, term, n * coalesce(idf, {other!r}::DOUBLE) AS x FROM t LEFT JOIN idfs USING (term)),
+nrm AS (SELECT doc_id, kind, pos, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+s AS (SELECT x.doc_id, x.kind, x.pos, k, license, sum(x.x * tpl.w) / any_value(norm) AS score FROM x JOIN tpl USING (term) JOIN nrm USING (doc_id, kind, pos) GROUP BY ALL HAVING sum(x.x * tpl.w) / any_value(norm) >= 0.8),
+b AS (SELECT doc_id, kind, pos, license, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY score DESC, k) = 1),
+p AS (SELECT doc_id, license, score FROM (SELECT * FROM b WHERE kind > 0 UNION ALL SELECT doc_id, 1, 0, regexp_extract(text, '{license.TAG}', 1), 1.0 FROM f WHERE regexp_matches(text, '{license.TAG}')) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, kind, pos) = 1),
+w AS (SELECT doc_id, license, score FROM (SELECT doc_id, 0 AS t, license, score FROM b WHERE kind = 0 UNION ALL SELECT doc_id, 1, license, score FROM p JOIN named USING (doc_id) WHERE named) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t) = 1),
+h AS (SELECT doc_id, license, score FROM p),
 d AS (SELECT dir, license FROM w JOIN f USING (doc_id) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1)
 SELECT f.doc_id, path, coalesce(w.license, h.license, d.license) AS license, coalesce(w.score, h.score) AS license_score,
  CASE WHEN w.license IS NOT NULL THEN 'file' WHEN h.license IS NOT NULL THEN 'header' WHEN d.license IS NOT NULL THEN 'inherited' END AS license_basis,
