@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_names, text_batches, text_udf
+from tidemark.llm.common import own_names, text_batches, text_udf, worker_cache
 
 #: Distinct pieces whose ids a worker keeps; the memo is emptied when full.
 MEMO_PIECES = 100_000
@@ -240,17 +240,18 @@ class EncodedText:
         return [i for _, _, ids in self.spans for i in ids]
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
+CACHE = "bpe"
 
 
 def vocabulary(shared, pattern: str) -> Vocabulary:
     """The worker's vocabulary of broadcast ranks, made once."""
     ranks, digest = shared.value
     key = digest + pattern
-    if key not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[key] = Vocabulary(ranks, pattern)
-    return _VOCABULARIES[key]
+    made = worker_cache(CACHE)
+    if key not in made:
+        made.clear()
+        made[key] = Vocabulary(ranks, pattern)
+    return made[key]
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -264,7 +265,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast((ranks, hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()))
     kind = "n long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    @text_udf(kind)
+    @text_udf(kind, CACHE)
     def run(texts):
         v, out = vocabulary(shared, pattern), []
         for text in texts:

@@ -1,5 +1,6 @@
 """Shared pieces: words, digests, tables, materialised cuts and row keys."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -94,10 +95,28 @@ def pieces(batch, *names: str):
         yield [c.slice(at, BATCH_ROWS).to_pylist() for c in cols]
 
 
-def text_udf(kind: str):
+#: Caches of a worker's functions by function, to be emptied when the worker is given to another function.
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    return _CACHES.setdefault(name, {})
+
+
+def starts(name: str) -> None:
+    """A worker function begins: what other functions left in this worker goes, as Spark gives workers from stage to stage."""
+    others = [c for n, c in _CACHES.items() if n != name and c]
+    if others:
+        for c in others:
+            c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def text_udf(kind: str, cache: str = ""):
     """Makes fn(list, ...) -> list a column function over Arrow arrays; for a kind with names, fn gives a tuple a row.
 
-    Batches are cut to BATCH_ROWS rows, so that a worker never holds many texts as objects.
+    Batches are cut to BATCH_ROWS rows, so that a worker never holds many texts as objects. cache: the worker cache that fn keeps.
     """
     spark_type = _parse_datatype_string(kind)
     arrow = to_arrow_type(spark_type)
@@ -110,6 +129,7 @@ def text_udf(kind: str):
 
     def wrap(fn):
         def cut(*cols):
+            starts(cache)
             return pa.concat_arrays([array(fn(*[c.slice(at, BATCH_ROWS).to_pylist() for c in cols])) for at in range(0, max(1, len(cols[0])), BATCH_ROWS)])
 
         if fn.__code__.co_argcount == 1:
