@@ -91,7 +91,7 @@ def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str,
     balls = checkpointed(balls.union(same))
 
     keyed = sets.select("cls", "n", "fp", "m1", "m2", F.explode("bands").alias("band"))
-    met = checkpointed(keyed.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1").drop("m"))
+    met = checkpointed(keyed.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1").withColumn("company", F.sum("m").over(Window.partitionBy("cls"))).drop("m"))
     wanted = met.select("cls").union(balls.select("a")).union(balls.select("b")).distinct()
     texts = sets.join(wanted, "cls", "left_semi").select("cls", "row").join(named.select("row", "text"), "row").select("cls", "text").dropDuplicates(["cls"]).select("cls", sets_of("text").alias("shingles"))
     texts = checkpointed(texts)
@@ -101,15 +101,17 @@ def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str,
         return checkpointed(pairs.join(ta, "a").join(tb, "b").where(check("x", "y")).select("a", "b"))
 
     def rooted(links: DataFrame) -> DataFrame:
-        return met.join(components(links), F.col("cls") == F.col("node"), "left").select("cls", "n", "fp", "m1", "m2", "band", F.coalesce("root", "cls").alias("root"))
+        return met.join(components(links), F.col("cls") == F.col("node"), "left").select("cls", "n", "fp", "m1", "m2", "band", "company", F.coalesce("root", "cls").alias("root"))
 
     fits = (f"root <> o.root and least(n, o.n) >= {least} * greatest(n, o.n) and bit_count(fp ^ o.fp) <= {MAX_BITS_APART} "
             f"and bit_count(m1 ^ o.m1) + bit_count(m2 ^ o.m2) <= {MAX_MINIMA_APART}")
     one = ("cls", "n", "fp", "m1", "m2", "root")
     links = verified(balls.distinct())
     near = checkpointed(rooted(links))
-    turns = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("turn"), *one)).over(Window.partitionBy("band")) for k in range(LEADER_ROUNDS)]
-    led = near.withColumn("leaders", F.array_distinct(F.array(*turns))).withColumn("o", F.explode("leaders"))
+    # the class that meets most others first, as a text does whose copies were each edited in another place; then random ones
+    orders = [-F.col("company"), *[F.xxhash64("cls", F.lit(k)) for k in range(LEADER_ROUNDS - 1)]]
+    turns = [F.min(F.struct(turn.alias("turn"), *one)).over(Window.partitionBy("band")) for turn in orders]
+    led = near.withColumn("leaders", F.array(*turns)).withColumn("o", F.explode("leaders"))
     links = links.unionByName(verified(led.where(fits).select(F.col("cls").alias("a"), F.col("o.cls").alias("b")).distinct()))
     left = rooted(links)
     apart = left.withColumn("lo", F.min("root").over(Window.partitionBy("band"))).withColumn("hi", F.max("root").over(Window.partitionBy("band"))).where("lo <> hi").drop("lo", "hi")
