@@ -1,4 +1,4 @@
-"""A paged JSON source as a Python data source: pages are files or whatever `fetch` returns.
+"""A paged JSON source as a data source: pages are files or whatever `fetch` returns.
 
 format("paged"): option path is a folder whose files <key>.<page>.json hold {"rows": [...], "next": page or null}; each key
 is one input partition, so keys are read side by side and a key's pages one after the other.
