@@ -114,3 +114,61 @@ def timing(run: DataFrame, asset: DataFrame, safe: DataFrame, day: str) -> DataF
     g = j.agg(F.avg(F.col("in_crisis").cast("double")).alias("share"), F.avg("r").alias("run_mean"), F.avg("a").alias("__a"), F.avg("s").alias("__s"))
     mix = (1 - F.col("share")) * F.col("__a") + F.col("share") * F.col("__s")
     return g.select("share", "run_mean", mix.alias("mix_mean"), (F.col("run_mean") - mix).alias("timing"))
+
+
+def window_table(df: DataFrame, bench: DataFrame, windows: DataFrame, by, order: str, r: str, b: str, keys=("label",), f: int = 252) -> DataFrame:
+    """(by, keys, ...): each run in each window (start, end] against the benchmark's log returns b of the same days.
+
+    Excess is end value against end value, capture the ratio of the two returns (null where the benchmark's is zero). Levels
+    start at 1, which counts as the first peak; recovered: the last level is at it again. windows is a short list of episodes.
+    """
+    by, keys = _list(by), _list(list(keys))
+    inside = (F.col(order) > F.col("start")) & (F.col(order) <= F.col("end"))
+    d = with_nav(df.join(F.broadcast(windows), inside), [*by, *keys], order, r)
+    g = d.groupBy(*by, *keys).agg(
+        F.count(r).alias("n"), (F.exp(F.sum(r)) - 1).alias("cum_return"), F.min("drawdown").alias("max_dd"),
+        F.sqrt(F.sum(F.col("drawdown") * F.col("drawdown")) / (F.count("*") + 1)).alias("ulcer"), (F.stddev_samp(r) * math.sqrt(f)).alias("ann_vol"),
+        F.avg((F.col("drawdown") < -1e-12).cast("double")).alias("underwater_share"), (F.max_by("nav", order) >= 1 - 1e-12).alias("recovered"))
+    base = bench.join(F.broadcast(windows), inside).groupBy(*keys).agg((F.exp(F.sum(b)) - 1).alias("bench_return"))
+    out = g.join(base, keys, "left")
+    return out.withColumn("excess_return", ratio(1 + F.col("cum_return"), 1 + F.col("bench_return")) - 1).withColumn("capture", ratio("cum_return", "bench_return"))
+
+
+def phase_table(df: DataFrame, bench: DataFrame, crises: DataFrame, by, order: str, r: str, b: str) -> DataFrame:
+    """One row for each run and crisis (label, peak, trough, even): ptt_* from peak to trough, ttp_* from there to recovery."""
+    by = _list(by)
+    phase = lambda name, start, end: F.struct(F.lit(name).alias("phase"), F.col(start).alias("start"), F.col(end).alias("end"))
+    windows = crises.select("label", F.inline(F.array(phase("ptt", "peak", "trough"), phase("ttp", "trough", "even"))))
+    t = window_table(df, bench, windows, by, order, r, b, ("label", "phase"))
+    at = lambda p, c: F.max(F.when(F.col("phase") == p, F.col(c))).alias(f"{p}_{c}")
+    return t.groupBy(*by, "label").agg(*[at(p, c) for p in ("ptt", "ttp") for c in ("cum_return", "excess_return", "capture", "max_dd")])
+
+
+def common_ulcer(df: DataFrame, windows: DataFrame, by, order: str, r: str) -> DataFrame:
+    """(by, label, ulcer_common): drawdowns up to a run's own recovery and zero after it, over all days of the window.
+
+    A run that never falls below its start has zero. So a longer recovery raises the value and all runs have as many days.
+    """
+    by = _list(by)
+    inside = (F.col(order) > F.col("start")) & (F.col(order) <= F.col("end"))
+    d = with_nav(df.join(F.broadcast(windows), inside), [*by, "label"], order, r)
+    w = Window.partitionBy(*by, "label")
+    d = d.withColumn("__low", F.min(F.struct("nav", F.col(order).alias("day"))).over(w))
+    d = d.withColumn("__back", F.min(F.when((F.col(order) > F.col("__low.day")) & (F.col("nav") >= 1), F.col(order))).over(w))
+    own = (F.col("__low.nav") < 1) & (F.col("__back").isNull() | (F.col(order) <= F.col("__back")))
+    depth = F.when(own, F.col("drawdown")).otherwise(0.0)
+    return d.groupBy(*by, "label").agg(F.sqrt(F.sum(depth * depth) / (F.count("*") + 1)).alias("ulcer_common"))
+
+
+def crisis_share(days: DataFrame, decisions: DataFrame, by, day: str, decided: str, flag: str) -> DataFrame:
+    """(by, crisis_share): the share of days on which the last decision says crisis; days before the first one don't count."""
+    from tidemark.operators.joins import asof_join
+
+    by = _list(by)
+    j = asof_join(days, decisions, day, decided, by)
+    return j.groupBy(*by).agg(F.avg(F.col(flag).cast("double")).alias("crisis_share"))
+
+
+def value_table(values: DataFrame, metric: str, period: str, run: str, value: str, runs: list[str]) -> DataFrame:
+    """(metric, period, a column for each run): one block for each metric, of the runs of the configured list."""
+    return values.groupBy(metric, period).pivot(run, runs).agg(F.first(value))

@@ -214,5 +214,8 @@ def json_paths(t):
 
 @query("SELECT y, phase, count(DISTINCT l_orderkey)::BIGINT AS n FROM (SELECT year(l_shipdate)::INT AS y, l_orderkey, unnest(CASE WHEN l_quantity > 25 THEN [1, 2] ELSE [2, 3] END) AS phase FROM lineitem) GROUP BY 1, 2")
 def phase_counts(t):
+    from tidemark.domain.documents import yearly_phase_counts
+
     p = F.when(F.col("l_quantity") > 25, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(3)))
-    return t.lineitem.select(F.year("l_shipdate").alias("y"), "l_orderkey", F.explode(p).alias("phase")).groupBy("y", "phase").agg(F.countDistinct("l_orderkey").alias("n"))
+    studies = t.lineitem.select(F.to_date("l_shipdate").alias("start_date"), F.col("l_orderkey").alias("nct_id"), p.alias("phase_groups"))
+    return yearly_phase_counts(studies).withColumnRenamed("year", "y")

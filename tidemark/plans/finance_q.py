@@ -101,12 +101,12 @@ def newey_west(t):
 @query("""WITH m AS (SELECT l_partkey AS p, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, avg(l_extendedprice / l_quantity) AS v, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
 x AS (SELECT p, m, v / lag(v, 12) OVER w - 1 AS mom FROM m WINDOW w AS (PARTITION BY p ORDER BY m)) SELECT m, p, round(mom, 6) AS mom FROM x WHERE mom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY m ORDER BY mom DESC, p) <= 5""", dates="m")
 def momentum_topk(t):
-    from tidemark.portfolio import top_by_signal
+    from tidemark.portfolio import momentum, top_by_signal
 
-    m = t.lineitem.groupBy(F.col("l_partkey").alias("p"), F.to_date(F.trunc("l_shipdate", "month")).alias("m")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
-    w = Window.partitionBy("p").orderBy("m")
-    x = m.select("m", "p", (F.try_divide(F.col("v"), F.lag("v", 12).over(w)) - 1).alias("mom")).where("mom IS NOT NULL")
-    return top_by_signal(x, "m", "p", "mom", 5).select("m", "p", r("mom").alias("mom"))
+    month, price = F.to_date(F.trunc("l_shipdate", "month")), F.avg(F.col("l_extendedprice") / F.col("l_quantity"))
+    panel = t.lineitem.groupBy(F.col("l_partkey").alias("ticker"), month.alias("date")).agg(price.alias("close"))
+    x = momentum(panel, long=12, skip=0).where("signal IS NOT NULL")
+    return top_by_signal(x, "date", "ticker", "signal", 5).select(F.col("date").alias("m"), F.col("ticker").alias("p"), r("signal").alias("mom"))
 
 
 @query("""WITH e AS (SELECT user_id AS ticker, event_id AS i, CASE WHEN event_id % 13 = 0 THEN value * 100 ELSE value + 50 END AS close FROM events), n AS (SELECT *, lead(close) OVER (PARTITION BY ticker ORDER BY i) / close AS rr FROM e),

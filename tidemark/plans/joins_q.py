@@ -19,8 +19,9 @@ def scan_project(t):
 
 @query("SELECT event_id, value FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 7")
 def recency_filter(t):
-    last = t.events.agg(F.max(F.to_date("ts")).alias("m"))
-    return t.events.crossJoin(F.broadcast(last)).where(F.datediff("m", F.to_date("ts")) < 7).select("event_id", "value")
+    from tidemark.readside import last_days
+
+    return last_days(t.events.withColumn("day", F.to_date("ts")), "day", 7).select("event_id", "value")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owing' WHEN c_acctbal < 1000 THEN 'low' WHEN c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS band,
@@ -145,10 +146,12 @@ def union_distinct(t):
 SELECT k, y, len(list_filter(items, lambda x: NOT list_contains(coalesce(p, []), x)))::INT AS added, len(list_filter(coalesce(p, []), lambda x: NOT list_contains(items, x)))::INT AS removed, len(list_filter(items, lambda x: list_contains(coalesce(p, []), x)))::INT AS kept
  FROM (SELECT k, y, items, lag(items) OVER (PARTITION BY k ORDER BY y) AS p FROM y)""")
 def set_changes(t):
+    from tidemark.domain.documents import list_changes
+
     x = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy((F.col("s_suppkey") % 7).alias("k"), F.year("l_shipdate").alias("y")).agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("items"))
-    p = F.coalesce(F.lag("items").over(Window.partitionBy("k").orderBy("y")), F.array().cast("array<bigint>"))
-    x = x.withColumn("p", p)
-    return x.select("k", "y", F.size(F.array_except("items", "p")).alias("added"), F.size(F.array_except("p", "items")).alias("removed"), F.size(F.array_intersect("items", "p")).alias("kept"))
+    added = F.size(F.coalesce("added", "items"))  # a first year has nothing before it
+    changes = list_changes(x, "k", "y", "items")
+    return changes.select("k", "y", added.alias("added"), F.coalesce(F.size("removed"), F.lit(0)).alias("removed"), (F.size("items") - added).alias("kept"))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")

@@ -179,3 +179,68 @@ def quality_report(prices: DataFrame) -> DataFrame:
     x = prices.withColumn("__r", r).withColumn("__gap", F.datediff("date", F.lag("date").over(w)))
     bad = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
     return x.groupBy("ticker").agg(F.count("*").alias("rows"), F.count_if(F.col("close").isNull()).alias("missing"), F.count_if(bad).alias("bad_ohlc"), F.count_if(F.col("__r") > 0.5).alias("extreme"), F.count_if(F.col("__r") == 0).alias("stale"), F.max("__gap").alias("longest_gap"))
+
+
+#: Forms that the overview lists.
+FORMS = ("10-K", "10-Q", "8-K", "20-F", "10-K/A", "10-Q/A", "DEF 14A")
+
+
+def fiscal_label(year, quarter=None) -> Column:
+    """FY2020, or Q3 2020."""
+    y = F.col(year).cast("string")
+    return F.concat(F.lit("FY"), y) if quarter is None else F.concat(F.lit("Q"), F.col(quarter).cast("string"), F.lit(" "), y)
+
+
+def selected(df: DataFrame, tickers: list[str] | None, c: str = "ticker") -> DataFrame:
+    """Rows of the tickers asked for; all of them without a list."""
+    return df.where(F.col(c).isin(*tickers)) if tickers else df
+
+
+def has_intraday(tickers: DataFrame, bars: DataFrame, by: str = "ticker") -> DataFrame:
+    """tickers with has_intraday: whether any bar is there."""
+    there = bars.select(by).distinct().withColumn("has_intraday", F.lit(True))
+    return tickers.join(there, by, "left").withColumn("has_intraday", F.coalesce("has_intraday", F.lit(False)))
+
+
+def filings(rows: DataFrame, n: int = 8, by: str = "corporate_id", forms=FORMS) -> DataFrame:
+    """The newest n filings of the listed forms for each company, the later accession first on one day."""
+    return latest(rows.where(F.col("form_type").isin(*forms)), by, [F.desc("filed_date"), F.desc("accession_no")], n)
+
+
+def filing_path(cik: str, accession: str, doc: str) -> Column:
+    """Path of a filing's main document in the public archive: filer, accession without dashes, file."""
+    return F.concat_ws("/", F.col(cik).cast("long").cast("string"), F.replace(F.col(accession).cast("string"), F.lit("-"), F.lit("")), F.col(doc))
+
+
+def financials(rows: DataFrame, n: int = 10, quarterly: bool = False, by: str = "corporate_id") -> DataFrame:
+    """The newest n fiscal years, or quarters by their end, that have a period end, with label."""
+    order = [F.desc("period_end")] if quarterly else [F.desc("fiscal_year")]
+    label = fiscal_label("fiscal_year", "fiscal_quarter" if quarterly else None)
+    return latest(rows.where("period_end IS NOT NULL"), by, order, n).withColumn("label", label)
+
+
+def holder_quarters(rows: DataFrame) -> DataFrame:
+    """Quarters with holders or a share held by institutions, with label."""
+    return rows.where("top_holders IS NOT NULL OR inst_ownership_pct IS NOT NULL").withColumn("label", fiscal_label("fiscal_year", "fiscal_quarter"))
+
+
+def insider_transactions(rows: DataFrame, n: int = 50, by: str = "corporate_id", tie: str = "accession_no") -> DataFrame:
+    """The newest n transactions of each company with their value; a missing suspicion is none."""
+    x = latest(rows, by, [F.desc("filing_date"), F.desc("trans_date"), F.desc(tie)], n)
+    return x.withColumn("value", F.col("shares") * F.col("price")).withColumn("date_suspect", F.coalesce("date_suspect", F.lit(False)))
+
+
+def annual_reports(rows: DataFrame, n: int = 6, by: str = "corporate_id") -> DataFrame:
+    """The newest n fiscal years with a report's date."""
+    return latest(rows.where("annual_report_date IS NOT NULL"), by, [F.desc("fiscal_year")], n)
+
+
+def dividends_splits(prices: DataFrame, actions: DataFrame, n: int = 12, by: str = "ticker") -> tuple[DataFrame, DataFrame]:
+    """The newest n dividends of each ticker, and all its corporate actions, newest first."""
+    return latest(prices.where("dividends > 0"), by, [F.desc("date")], n), actions.orderBy(by, F.desc("date"))
+
+
+def trial_versions(raw: DataFrame, by: str = "nct_id") -> DataFrame:
+    """raw versions with age, 1 for the newest, and the days since the version before."""
+    w = Window.partitionBy(by).orderBy(F.desc("version"))
+    return raw.withColumn("age", F.row_number().over(w)).withColumn("days_since", F.datediff("downloaded_at", F.lead("downloaded_at").over(w)))
