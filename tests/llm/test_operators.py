@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, common, components, covertree, eliasfano, embedding, extraction, hypergeom, license, lines, lm, mixing, quality, sharding, simhash
@@ -626,6 +628,23 @@ def test_lm_tells_seen_texts(spark):
     got = [(r.doc_id, r.score / r.n_tokens) for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()]
     assert min(s for i, s in got if i in twins) > max(s for i, s in got if i not in twins)
 
+def test_lm_messages_in_little_memory(monkeypatch):
+    """A worker holds few arrays of a chunk's length, and gives messages back a few at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 20_000) % 30_000) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], ["doc", "body"])
+    heavy = np.unique([xxhash.xxh3_64_intdigest(f"w{k}".encode()) for k in range(1, 60)]).astype(np.uint64)
+    monkeypatch.setattr(lm, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    monkeypatch.setattr(lm, "SEND_BYTES", 200_000, raising=False)
+    tracemalloc.start()
+    sent = [b.num_rows for b in lm._scatter(24, heavy, 4)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1] / (60 * 20_001)
+    tracemalloc.stop()
+    assert sum(sent) == 24 and len(sent) > 1
+    assert peak < 50  # bytes a token; 75 when all contexts and messages of a chunk were held
+
 
 # lines ---------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("max_bits", "per_line"), [(1 << 30, 32), (1 << 20, 32), (1 << 20, 8192)])

@@ -31,8 +31,10 @@ MESSAGE_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 100_000, (4_000_000, 8_000_000), 1 <<
 PART_TOKENS, PARTS = 4_000_000, 24
 #: Bytes of a context word's hash that are sent: contexts are told apart below one word only.
 CONTEXT_BYTES = 6
+#: Bytes of messages that a worker function gives back at a time.
+SEND_BYTES = 4_000_000
 #: Tokens that a task holds unpacked at a time.
-ROUND_TOKENS = 600_000
+ROUND_TOKENS = 200_000
 #: Weights of the counts by length of the context, and of the word's own probability.
 WEIGHTS, BASE_WEIGHT = (1.0, 100.0, 10_000.0), 1000.0
 MEMO_WORDS = 500_000
@@ -87,15 +89,22 @@ def part_of(word: np.ndarray, context: np.ndarray, heavy: np.ndarray, parts: int
     return ((np.where(spread, _mix(context, word), word) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def contexts_of(numbers: np.ndarray, sizes: list[int], order: int, start: int) -> list[np.ndarray]:
-    """For k = 1 .. order - 1 the word that stands k before each token of its document, `start` before the first."""
-    begins = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-    place = np.arange(len(numbers)) - begins
-    out = []
-    for k in range(1, order):
-        shifted = np.r_[np.full(min(k, len(numbers)), start, numbers.dtype), numbers[:-k]]
-        out.append(np.where(place >= k, shifted, start).astype(numbers.dtype))
-    return out
+def numbered(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens in order, and the number of each token; takes the list's arrays out of it, as they are large together."""
+    flat = np.concatenate(tokens)
+    tokens.clear()
+    by = np.argsort(flat)
+    flat = flat[by]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    table, numbers = flat[new], np.empty(len(flat), dtype=np.int32)
+    del flat
+    numbers[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return table, numbers
+
+
+def contexts_at(where: np.ndarray, place: np.ndarray, numbers: np.ndarray, order: int, start: int) -> list[np.ndarray]:
+    """For k = 1 .. order - 1 the word that stands k before the tokens at `where`, each the place-th of its document; `start` before the first."""
+    return [np.where(place >= k, numbers[np.maximum(where - k, 0)], start).astype(numbers.dtype) for k in range(1, order)]
 
 
 def _mark(place: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
@@ -114,12 +123,17 @@ def _planes(x: np.ndarray, width: int) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _from_planes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+def _from_planes(raw: bytes, at: int, n: int, width: int, now=slice(None)) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)[:, now]
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "chunk", "docs", "tokens"])
+
+
 def _scatter(parts: int, heavy: np.ndarray, order: int):
     """Chunks of documents as rows (part, chunk, docs, tokens) with packed arrays."""
     chunk_tokens = min(CHUNK_TOKENS[1], max(CHUNK_TOKENS[0], MESSAGE_TOKENS * parts))
@@ -129,30 +143,47 @@ def _scatter(parts: int, heavy: np.ndarray, order: int):
         chunk, ids, words, sizes = TaskContext.get().partitionId() << 32, [], [], []
 
         def flush():
-            # words of the chunk by number; number 0 is what stands before a document
-            table, numbers = np.unique(np.concatenate([np.array([START]), *words]), return_inverse=True)
-            start, numbers = int(numbers[0]), numbers[1:].astype(np.int32)
-            before = contexts_of(numbers, sizes, order, start)
+            # words of the chunk by number; the start stands before a document. Contexts are read where a part needs them:
+            # arrays of a chunk's length are what a worker's memory goes to
+            lengths, kind = np.array(sizes), np.uint16 if parts <= 1 << 16 else np.uint32
+            table, numbers = numbered(words)
+            start = int(numbers[-1])
+            begins = np.cumsum(lengths) - lengths
             doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-            part = part_of(table[numbers], table[before[0]], heavy, parts)
-            by = np.argsort(part * len(table) + numbers, kind="stable")
-            part, numbers, doc, before = part[by], numbers[by], doc[by], [x[by] for x in before]
+            part = part_of(table, table, table[:0], parts).astype(kind)[numbers[:-1]]
+            spread = np.flatnonzero(np.isin(table, heavy)[numbers[:-1]])
+            for at in range(0, len(spread), 1 << 18):
+                x = spread[at : at + (1 << 18)]
+                (one,) = contexts_at(x, x - begins[doc[x]], numbers, 2, start)
+                part[x] = part_of(table[numbers[x]], table[one], heavy, parts)
+            del spread
+            by = np.argsort(part, kind="stable")
+            cuts = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+            del part
             known, number = np.array([i is not None for i in ids]), np.array([i or 0 for i in ids], dtype=np.int64)
             train = np.array([not held_out(i) for i in ids])
-            cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
             word_place, doc_place = (np.zeros(n, dtype=np.uint32) for n in (len(table), len(ids)))
-            rows = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                begin = np.flatnonzero(np.r_[True, numbers[a + 1 : b] != numbers[a : b - 1]])
-                own, n = numbers[a:b][begin], np.diff(np.r_[begin, b - a])
-                there, local = np.unique(doc[a:b]), _mark(word_place, *[x[a:b] for x in before])  # only documents with tokens here
+            rows, held = [], 0
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                at = by[cuts[p] : cuts[p + 1]]
+                at = at[np.argsort(numbers[at], kind="stable")]
+                word, of = numbers[at], doc[at]
+                before = contexts_at(at, at - begins[of], numbers, order, start)
+                begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                own, n = word[begin], np.diff(np.r_[begin, len(at)])
+                there, local = np.unique(of), _mark(word_place, *before)  # only documents with tokens here
                 doc_place[there] = np.arange(len(there))
-                head = np.array([len(there), len(own), b - a, len(local)], dtype=np.int64)
+                head = np.array([len(there), len(own), len(at), len(local)], dtype=np.int64)
                 docs = z.compress(there.astype(np.uint16).tobytes() + known[there].tobytes() + train[there].tobytes() + number[there].tobytes())
                 wide = 2 if len(local) <= 1 << 16 else 4
-                body = [head.tobytes(), table[own].tobytes(), n.astype(np.uint32).tobytes(), _planes(table[local] >> np.uint64(64 - 8 * CONTEXT_BYTES), CONTEXT_BYTES), _planes(doc_place[doc[a:b]], 2), *[_planes(word_place[x[a:b]], wide) for x in before]]
-                rows.append((int(part[a]), chunk, docs, z.compress(b"".join(body))))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "chunk", "docs", "tokens"])
+                body = [head.tobytes(), table[own].tobytes(), n.astype(np.uint32).tobytes(), _planes(table[local] >> np.uint64(64 - 8 * CONTEXT_BYTES), CONTEXT_BYTES), _planes(doc_place[of], 2), *[_planes(word_place[x], wide) for x in before]]
+                rows.append((p, chunk, docs, z.compress(b"".join(body))))
+                held += len(rows[-1][3])
+                if held >= SEND_BYTES:
+                    yield _rows(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _rows(rows)
 
         n = 0
         for batch in batches:
@@ -163,10 +194,12 @@ def _scatter(parts: int, heavy: np.ndarray, order: int):
                     sizes.append(len(words[-1]))
                     n += sizes[-1]
                     if n >= chunk_tokens or len(ids) >= CHUNK_DOCS:
-                        yield flush()
+                        words.append(np.array([START]))
+                        yield from flush()
                         chunk, ids, words, sizes, n = chunk + 1, [], [], [], 0
         if ids:
-            yield flush()
+            words.append(np.array([START]))
+            yield from flush()
 
     return run
 
@@ -181,12 +214,12 @@ def _unpack(blob: bytes, order: int, rounds: int, turn: int):
     at += 12 * k
     table = _from_planes(raw, at, m, CONTEXT_BYTES)
     at += CONTEXT_BYTES * m
-    doc = _from_planes(raw, at, n, 2).astype(np.int32)
+    mine = (own >> np.uint64(11)) % np.uint64(rounds) == turn
+    now = np.flatnonzero(np.repeat(mine, reps)) if rounds > 1 else slice(None)
+    doc = _from_planes(raw, at, n, 2, now).astype(np.int32)
     at += 2 * n
     wide = 2 if m <= 1 << 16 else 4
-    word = np.repeat(own, reps)
-    now = np.flatnonzero(np.repeat((own >> np.uint64(11)) % np.uint64(rounds) == turn, reps)) if rounds > 1 else slice(None)
-    return word[now], [table[_from_planes(raw, at + i * wide * n, n, wide)[now]] for i in range(order - 1)], doc[now]
+    return np.repeat(own[mine], reps[mine]), [table[_from_planes(raw, at + i * wide * n, n, wide, now)] for i in range(order - 1)], doc
 
 
 def _doc_table(blob: bytes):
@@ -224,11 +257,15 @@ class Model:
         self.weights, self.base, self.order = tuple(weights), base, len(weights) + 1
 
 
-def score_part(word, before, doc, train_doc, totals: Totals, model: Model):
-    """Partial sums of each document: tokens, known, base and score; arrays of one partition's tokens."""
+def score_part(tokens: list[np.ndarray], train_doc, totals: Totals, model: Model):
+    """Partial sums of each document: tokens, known, base and score. tokens: words, documents and contexts of one turn's tokens, taken out of the list."""
     n_levels = model.order
+    word, doc, *before = tokens
+    tokens.clear()
     order = np.lexsort((*before[::-1], word))
-    word, before, doc = word[order], [x[order] for x in before], doc[order]
+    word, doc = word[order], doc[order]
+    for k in range(n_levels - 1):
+        before[k] = before[k][order]
     del order
     train = train_doc[doc].astype(np.int64)
     # groups of each level: their first token, their parent, and the count in training
@@ -286,17 +323,20 @@ def score_part(word, before, doc, train_doc, totals: Totals, model: Model):
 
 
 def _reduce(totals: Totals, model: Model):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(sent: pa.Table) -> pa.Table:
         z, train, spans, at, tokens = zstandard.ZstdCompressor(1), [], [], 0, 0
-        for chunk, docs, blob in zip(pdf["chunk"], pdf["docs"], pdf["tokens"], strict=True):
-            there, _, trains, _ = _doc_table(docs)
-            train.append(trains)
-            spans.append((chunk, docs, blob, at, at + len(there)))
-            at += len(there)
-            tokens += int(np.frombuffer(zstandard.ZstdDecompressor().stream_reader(blob).read(32), np.int64)[2])
+        for batch in sent.to_batches():
+            for chunk, docs, blob in zip(*(batch.column(c) for c in ("chunk", "docs", "tokens")), strict=True):
+                docs, blob = docs.as_py(), blob.as_buffer()  # messages are read where they lie
+                there, _, trains, _ = _doc_table(docs)
+                train.append(trains)
+                spans.append((chunk.as_py(), docs, blob, at, at + len(there)))
+                at += len(there)
+                tokens += int(np.frombuffer(zstandard.ZstdDecompressor().stream_reader(blob).read(32), np.int64)[2])
         train_doc, rounds = np.concatenate(train), max(1, -(-tokens // ROUND_TOKENS))
         sums = [np.zeros(at, dtype=k) for k in (np.int64, np.int64, np.float64, np.float64)]
-        for turn in range(rounds):  # the words of a partition in turns, each with its own piece of the trie
+
+        def turn_of(turn: int):
             w, d, v = [], [], [[] for _ in range(model.order - 1)]
             for _, _, blob, lo, _ in spans:
                 word, before, doc = _unpack(blob, model.order, rounds, turn)
@@ -304,12 +344,15 @@ def _reduce(totals: Totals, model: Model):
                 d.append(doc.astype(np.int32) + np.int32(lo))
                 for to, x in zip(v, before, strict=True):
                     to.append(x)
-            w, d, v = np.concatenate(w), np.concatenate(d), [np.concatenate(x) for x in v]
-            if len(w):
-                for total, part in zip(sums, score_part(w, v, d, train_doc, totals, model), strict=True):
+            return [np.concatenate(x) for x in (w, d, *v)]
+
+        for turn in range(rounds):  # the words of a partition in turns, each with its own piece of the trie
+            unpacked = turn_of(turn)
+            if len(unpacked[0]):
+                for total, part in zip(sums, score_part(unpacked, train_doc, totals, model), strict=True):
                     total += part
-        rows = [(int(chunk), docs, z.compress(b"".join(x[a:b].astype(k).tobytes() for x, k in zip(sums, ("<u4", "<u4", "<f8", "<f8"), strict=True)))) for chunk, docs, _, a, b in spans]
-        return pd.DataFrame(rows, columns=["chunk", "docs", "sums"])
+        packed = [z.compress(b"".join(x[a:b].astype(k).tobytes() for x, k in zip(sums, ("<u4", "<u4", "<f8", "<f8"), strict=True))) for _, _, _, a, b in spans]
+        return pa.table({"chunk": pa.array([x[0] for x in spans], pa.int64()), "docs": pa.array([x[1] for x in spans], pa.binary()), "sums": pa.array(packed, pa.binary())})
 
     return run
 
@@ -350,9 +393,9 @@ def lm_scores(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, base_weight
     end = int(END.view(np.int64))
     r = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0))).first()
     parts = max(PARTS, -(-int(r[0]) // PART_TOKENS))
-    heavy = {int(np.int64(x.h).view(np.uint64)): int(x.n) for x in counts.where(F.col("n") > int(r[0]) // (8 * parts)).collect()}  # 8 * parts words at most
+    heavy = {int(np.int64(x.h).view(np.uint64)): int(x.n) for x in counts.where(F.col("n") > int(r[0]) // (16 * parts)).collect()}  # 16 * parts words at most
     totals = Totals(*(int(x) for x in r), heavy)
     sent = src.mapInArrow(_scatter(parts, totals.heavy, model.order), "part long, chunk long, docs binary, tokens binary")
     n = min(parts, max(shuffle_partitions(spark), 1))
-    sums = sent.repartition(n, "part").groupBy("part").applyInPandas(_reduce(totals, model), "chunk long, docs binary, sums binary")
+    sums = sent.repartition(n, "part").groupBy("part").applyInArrow(_reduce(totals, model), "chunk long, docs binary, sums binary")
     return sums.groupBy("chunk").applyInPandas(_gather(totals, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
