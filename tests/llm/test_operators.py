@@ -341,6 +341,36 @@ def test_prefix_table_appends_and_edits():
     assert long.encoded < 30
 
 
+def test_bpe_looks_up_no_substrings_and_keeps_common_pieces(monkeypatch):
+    """Once the automaton's steps are made, a new piece takes a lookup as a whole; a full memo doesn't lose the pieces that keep coming."""
+
+    class Counted(dict):
+        n = 0
+
+        def __contains__(self, key):
+            Counted.n += 1
+            return super().__contains__(key)
+
+    ranks = bpe.load_ranks(public_tokenizers.path(NAMES[1]))
+    v = bpe.Vocabulary(Counted(ranks), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    pieces = [" " + "".join(rng.choice("etaoin") for _ in range(30)) for _ in range(400)]
+    for piece in pieces[:300]:
+        bpe.encode_piece(v, piece)
+    Counted.n = 0
+    for piece in pieces[300:]:
+        bpe.encode_piece(v, piece)
+    assert Counted.n < 100 * 30
+
+    made, encode_piece = [], bpe.encode_piece
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 20)
+    monkeypatch.setattr(bpe, "encode_piece", lambda v, piece: made.append(piece) or encode_piece(v, piece))
+    v = bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+    for k in range(200):
+        assert bpe.decode(v, bpe.encode(v, f" zqzqcommon{pieces[k]}")) == f" zqzqcommon{pieces[k]}".encode()
+    assert made.count(" zqzqcommon") == 1 and len(v.pieces) <= 20 and len(v.older) <= 20
+
+
 def test_bpe_query(docs, nothing):
     path = public_tokenizers.path(NAMES[1])
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})

@@ -3,6 +3,8 @@
 Every prefix of a byte string has one encoding, so one last token; a token can follow another if and only if BPE, given
 the bytes of both, yields these two. The table of last tokens is therefore filled from left to right, with exact appends:
 earlier entries never change. Reading it backwards gives the ids. After an edit the table is valid up to the edit.
+An automaton over the tokens' beginnings (Aho-Corasick) names the tokens that end at each byte, the longest first, so no
+substring is looked up; its steps are made when first taken.
 """
 
 import base64
@@ -16,10 +18,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import own_names, text_batches, text_udf, worker_cache
 
-#: Distinct pieces whose ids a worker keeps; the memo is emptied when full.
-MEMO_PIECES = 100_000
+#: Distinct pieces whose ids a worker keeps in each of two memos; when the newer is full the older goes, but for pieces met since.
+MEMO_PIECES = 50_000
 MEMO_PAIRS = 250_000
-MEMO_PREFIXES = 200_000
+MEMO_STEPS = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,8 +38,13 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.good: dict[bytes, int | None] = {}
-        self.prefixes: dict[bytes, int | None] = {}
+        #: States are the beginnings of tokens: names, and for each state reached the tokens that end in it, with their lengths.
+        self.starts = sorted({b""} | {t[:n] for t in ranks for n in range(len(t) + 1)})
+        self.state_of = {t: k for k, t in enumerate(self.starts)}
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.starts)
+        self.steps: dict[int, int] = {}
         self.spines: dict[tuple[bytes, bool], tuple | None] = {}
         self.table = [self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)]
 
@@ -87,25 +94,51 @@ class Vocabulary:
         ok = self.pairs[i << 32 | j] = self._border_holds(x, y) if x and y else self.merge(a + b) == [a, b]
         return ok
 
-    def last_token(self, data: bytes, last: list[int | None]) -> int | None:
-        """The last token of all of data, `last` having that of every shorter prefix; None if a byte has no token."""
-        ranks, good, pairs, end = self.ranks, self.good, self.pairs, len(data)
-        for start in range(max(0, end - self.longest), end):
-            token = data[start:]
-            if token in ranks:
-                i = good.get(token, -1)
-                if i == -1:
-                    i = self.id_of(token)
-                if i is None:
-                    continue
-                if start == 0:
-                    return i
-                before = last[start]
+    def step(self, key: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The state after a byte, << 8, and its tokens; key: the state before << 8 | the byte.
+
+        The new state is the longest end of both that begins a token, 0 (the empty one) for a byte that begins none.
+        """
+        if len(self.steps) >= MEMO_STEPS:
+            self.steps.clear()
+        read = self.starts[key >> 8] + bytes((key & 255,))
+        at = next(k for n in range(len(read) + 1) if (k := self.state_of.get(read[n:])) is not None)
+        if self.ends[at] is None:
+            name = self.starts[at]
+            tokens = [name[n:] for n in range(len(name)) if name[n:] in self.ranks]
+            self.ends[at] = tuple((i, len(t)) for t in tokens if (i := self.id_of(t)) is not None)
+        self.steps[key] = found = (at << 8, self.ends[at])
+        return found
+
+    def state_after(self, data: bytes) -> int:
+        state = 0
+        for byte in data[-self.longest :]:
+            state = (self.steps.get(state | byte) or self.step(state | byte))[0]
+        return state
+
+    def fill(self, data: bytes, last: list[int | None], state: int = 0) -> int:
+        """Appends the last tokens of the prefixes that end in data to `last`, which has those of all shorter prefixes.
+
+        None stands for prefixes that no tokens make, and for the empty one. state: of the automaton before data, << 8; the one
+        after is returned.
+        """
+        steps, pairs, end = self.steps, self.pairs, len(last)
+        for byte in data:
+            state, ends = steps.get(state | byte) or self.step(state | byte)
+            for i, n in ends:
+                if n == end:
+                    last.append(i)
+                    break
+                before = last[end - n]
                 if before is not None:
                     ok = pairs.get(before << 32 | i)
                     if ok or ok is None and self.follows(before, i):
-                        return i
-        return None
+                        last.append(i)
+                        break
+            else:
+                last.append(None)
+            end += 1
+        return state
 
     def _border_holds(self, x, y) -> bool:
         end, i, j, ranks = 1 << 60, 0, 0, self.ranks
@@ -127,21 +160,19 @@ class Prefixes:
     """The last token of every prefix of a byte string; entry 0 stands for the empty prefix."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, b"", [None]
+        self.v, self.data, self.last, self.state = vocabulary, b"", [None], 0
         self.append(data)
 
     def append(self, more: bytes) -> None:
         self.data += more
-        data, last, v = self.data, self.last, self.v
-        for end in range(len(last), len(data) + 1):
-            at = max(0, end - v.longest)
-            last.append(v.last_token(data[:end], last) if at == 0 else v.last_token(data[at - 1 : end], [None, *last[at:]]))
+        self.state = self.v.fill(more, self.last, self.state)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Put new in place of data[start:end]; entries up to start stay."""
         tail = self.data[end:]
         self.data = self.data[:start]
         del self.last[start + 1 :]
+        self.state = self.v.state_after(self.data)
         self.append(new + tail)
 
     def ids(self) -> list[int]:
@@ -160,25 +191,12 @@ def walk_back(v: Vocabulary, last: list[int | None]) -> list[int]:
 
 
 def encode_piece(v: Vocabulary, piece: str) -> list[int]:
-    """Ids of one match of the pattern; a piece that is a token as a whole is that token.
-
-    A prefix's last token doesn't depend on what follows, so pieces that begin alike share their prefixes' entries.
-    """
+    """Ids of one match of the pattern; a piece that is a token as a whole is that token."""
     data = piece.encode()
     if (i := v.ranks.get(data)) is not None:
         return [i]
-    if len(data) > 48:
-        return Prefixes(v, data).ids()
-    known = v.prefixes
-    if len(known) >= MEMO_PREFIXES:
-        known.clear()
     last: list[int | None] = [None]
-    for end in range(1, len(data) + 1):
-        prefix = data[:end]
-        i = known.get(prefix, -1)
-        if i == -1:
-            i = known[prefix] = v.last_token(prefix, last)
-        last.append(i)
+    v.fill(data, last)
     return walk_back(v, last)
 
 
@@ -187,14 +205,17 @@ def encode(v: Vocabulary, text: str | None) -> np.ndarray:
     memo, pieces = v.pieces, v.pattern.findall(text or "")
     out = list(map(memo.get, pieces))
     if None in out:
-        for k, piece in enumerate(pieces):
-            if out[k] is None and (ids := memo.get(piece)) is None:
-                out[k] = struct.pack(f"<{len(ids := encode_piece(v, piece))}I", *ids)
-                if len(piece) <= 64:
-                    if len(memo) >= MEMO_PIECES:
-                        memo.clear()
-                    memo[piece] = out[k]
-            elif out[k] is None:
+        for k, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[k]
+                if (ids := memo.get(piece)) is None:
+                    if (ids := v.older.get(piece)) is None:
+                        ids = struct.pack(f"<{len(ids := encode_piece(v, piece))}I", *ids)
+                    if len(piece) <= 64:
+                        if len(memo) >= MEMO_PIECES:
+                            v.older, v.pieces = memo, {}
+                            memo = v.pieces
+                        memo[piece] = ids
                 out[k] = ids
     return np.frombuffer(b"".join(out), dtype="<u4")
 
