@@ -717,6 +717,55 @@ def test_sharding_moves_texts(spark, monkeypatch):
     assert seen == [["doc_id", "text"]] and sorted((r.doc_id, r.size) for r in got) == [(k, len(t or "") + 1) for k, t in rows]
 
 
+def test_parities_never_rule_out_a_similar_pair():
+    from tidemark.llm import nearcopies
+
+    rng = np.random.default_rng(4)
+    for n in (1, 15, 16, 17, 150, 1000):
+        for away in (0, 1, n // 9, n // 5):
+            s = np.unique(rng.integers(0, 1 << 64, n + away, dtype=np.uint64))
+            a, b = nearcopies.parity(s[:n]), nearcopies.parity(s[away:])
+            while len(a) != len(b):
+                a, b = (x if len(x) == min(len(a), len(b)) else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in (a, b))
+            assert 64 * len(a) >= 4 * n and np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * away
+
+
+def test_few_pairs_of_a_group_below_the_threshold_are_checked(spark, monkeypatch, tmp_path):
+    """Copies of one text, each edited in four places, are no near copies of each other; two in the group are."""
+    import corpus_pipeline as cp
+
+    from tidemark.llm import nearcopies
+
+    def counting(least, log=str(tmp_path / "checked")):
+        @F.arrow_udf("boolean")
+        def run(a: pa.Array, b: pa.Array) -> pa.Array:
+            out = []
+            for x, y in zip(a, b, strict=True):
+                x, y = (set(np.frombuffer(z.as_py(), np.uint64).tolist()) for z in (x, y))
+                out.append(len(x & y) >= least * len(x | y))
+            with open(log, "a") as f:
+                f.write(f"{len(out)}\n")
+            return pa.array(out, pa.bool_())
+
+        return run
+
+    monkeypatch.setattr(nearcopies, "_check", counting)
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(600):
+        edited = list(base)
+        for k, at in enumerate((10, 45, 80, 115)):
+            edited[at + rng.randrange(20)] = f"e{i}x{k}"
+        rows.append((i, " ".join(edited)))
+        if i % 60 == 7:
+            edited[70] = "again"
+            rows.append((1000 + i, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.drop_near_copies(spark, df, "").collect()) == list(range(600))
+    assert sum(map(int, (tmp_path / "checked").read_text().split())) < 60_000
+
+
 def test_near_copies(spark):
     import corpus_pipeline as cp
 

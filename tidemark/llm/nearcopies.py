@@ -5,7 +5,9 @@ doesn't reach all similar pairs: at a similarity of 0.8 the 64-bit fingerprints
 of that radius are too large to emit. So bands of minima propose further pairs: 24 bands of 4 minima miss a pair of
 similarity 0.8 with a chance of 3 in a million, and less above. Each class of equal texts is checked against the leaders of
 its buckets, the first ones by a few orders; then all pairs of a bucket whose classes are not joined yet, whose sizes allow the similarity
-and whose fingerprints and minima don't rule it out are checked, none left out.
+and which fingerprints, minima and parities don't rule out are checked, none left out. Parities (which bits are hit by an odd number of a
+set's hashes) never rule out a similar pair: two sets' parities differ in at most as many bits as the sets differ in elements. Below the
+threshold they differ in nearly as many, so of a large group of texts just below it few pairs leave the join.
 """
 
 import numpy as np
@@ -46,6 +48,16 @@ def signature(text: str | None, shingle: int) -> np.ndarray:
     return np.array(head + [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A set's bits that an odd number of its hashes hit, in longs; 4 to 8 bits an element, a power of two.
+
+    The parities of fewer bits follow by folding: long k with long k + half.
+    """
+    bits = max(128, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 128
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _check(least: float):
     """Whether two sets of shingles, sorted longs end to end, are similar; read where they lie, without copies."""
 
@@ -64,6 +76,16 @@ def _check(least: float):
     return run
 
 
+def _allowed(least: float) -> str:
+    """SQL: whether the parities of a row and of its o let the sets be similar; sizes are known to, so their bits differ by a factor of two at most.
+
+    Sets of n and m elements that differ in d have the similarity (n + m - d) / (n + m + d).
+    """
+    apart = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    bits = f"case when size(odd) = size(o.odd) then {apart('odd', 'o.odd')} when size(odd) > size(o.odd) then {apart('odd_half', 'o.odd')} else {apart('odd', 'o.odd_half')} end"
+    return f"{bits} <= {(1 - least) / (1 + least) + 1e-9!r}D * (n + o.n)"
+
+
 def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, row, cls) of every row of docs, and (a, b), links of classes that join the same components as all similar pairs."""
     text_batches(docs)
@@ -72,9 +94,13 @@ def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str,
     def sign(texts):
         return [signature(t, shingle) for t in texts]
 
-    @text_udf("binary")
+    @text_udf("shingles binary, odd array<long>, odd_half array<long>")
     def sets_of(texts):
-        return [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]
+        out = []
+        for t in texts:
+            odd = parity(s := np.unique(shingle_hashes(t, shingle)))
+            out.append((s.tobytes(), odd, odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]))
+        return out
 
     check = _check(least)
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
@@ -93,7 +119,7 @@ def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str,
     keyed = sets.select("cls", "n", "fp", "m1", "m2", F.explode("bands").alias("band"))
     met = checkpointed(keyed.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1").withColumn("company", F.sum("m").over(Window.partitionBy("cls"))).drop("m"))
     wanted = met.select("cls").union(balls.select("a")).union(balls.select("b")).distinct()
-    texts = sets.join(wanted, "cls", "left_semi").select("cls", "row").join(named.select("row", "text"), "row").select("cls", "text").dropDuplicates(["cls"]).select("cls", sets_of("text").alias("shingles"))
+    texts = sets.join(wanted, "cls", "left_semi").select("cls", "row").join(named.select("row", "text"), "row").select("cls", "text").dropDuplicates(["cls"]).select("cls", sets_of("text").alias("got")).select("cls", "got.*")
     texts = checkpointed(texts)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -115,9 +141,9 @@ def classes_and_links(docs: DataFrame, shingle: int, least: float, id_col: str,
     links = links.unionByName(verified(led.where(fits).select(F.col("cls").alias("a"), F.col("o.cls").alias("b")).distinct()))
     left = rooted(links)
     apart = left.withColumn("lo", F.min("root").over(Window.partitionBy("band"))).withColumn("hi", F.max("root").over(Window.partitionBy("band"))).where("lo <> hi").drop("lo", "hi")
-    apart = checkpointed(apart)
-    other = apart.select("band", F.struct(*one).alias("o"))
-    rest = apart.join(other, "band").where(f"cls < o.cls and {fits}").select(F.col("cls").alias("a"), F.col("o.cls").alias("b")).distinct()
+    apart = checkpointed(apart.join(texts.select("cls", "odd", "odd_half"), "cls"))
+    other = apart.select("band", F.struct(*one, "odd", "odd_half").alias("o"))
+    rest = apart.join(other, "band").where(f"cls < o.cls and {fits} and {_allowed(least)}").select(F.col("cls").alias("a"), F.col("o.cls").alias("b")).distinct()
     return rows.select("id", "row", "cls"), links.unionByName(verified(rest))
 
 
