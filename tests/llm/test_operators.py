@@ -371,6 +371,38 @@ def test_bpe_looks_up_no_substrings_and_keeps_common_pieces(monkeypatch):
     assert made.count(" zqzqcommon") == 1 and len(v.pieces) <= 20 and len(v.older) <= 20
 
 
+def test_bpe_fills_tables_of_new_pieces_together(monkeypatch):
+    """Short new pieces of several texts take no loop over their bytes; ids are the reference encoder's, however small memos and tables are."""
+    filled, fill = [], bpe.Vocabulary.fill
+    monkeypatch.setattr(bpe.Vocabulary, "fill", lambda v, data, *rest: filled.append(data) or fill(v, data, *rest))
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaoinshrdlu" if rng.random() < 0.9 else "éßдж你好\U0001f600-.7 ") for _ in range(rng.randint(1, 14)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(80)] + [None, "", "x", " " * 90 + "é" * 70 + "!", "hello there"]
+    for name in NAMES:
+        ranks = bpe.load_ranks(public_tokenizers.path(name))
+        enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for small in (False, True):
+            with monkeypatch.context() as m:
+                for const, n in (("MEMO_PIECES", 50), ("MEMO_STEPS", 40), ("MEMO_PAIRS", 40), ("MOST_TOGETHER", 30), ("CHUNK_CHARS", 3000)) if small else ():
+                    m.setattr(bpe, const, n)
+                v = bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+                filled.clear()
+                assert [ids.tolist() for ids in bpe.encode_all(v, texts)] == [enc.encode_ordinary(t or "") for t in texts]
+                assert all(len(data) > bpe.LONGEST_TOGETHER for data in filled) or small
+                assert len(v.pieces) <= bpe.MEMO_PIECES and v.array_pairs.n <= bpe.MEMO_PAIRS
+
+
+def test_long_table_equals_dict():
+    rng = random.Random(10)
+    t, want = bpe.LongTable(100_000), {}
+    for _ in range(30):
+        keys = np.array([rng.choice([rng.randrange(500), rng.randrange(1 << 62)]) for _ in range(400)], np.int64)
+        assert t.get(keys).tolist() == [want.get(k, -1) for k in keys.tolist()]
+        assert t.get_or_make(keys, lambda k: k % 1009).tolist() == [k % 1009 for k in keys.tolist()]
+        want |= {k: k % 1009 for k in keys.tolist()}
+    assert t.n == len(want)
+
+
 def test_bpe_query(docs, nothing):
     path = public_tokenizers.path(NAMES[1])
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})

@@ -4,7 +4,8 @@ Every prefix of a byte string has one encoding, so one last token; a token can f
 the bytes of both, yields these two. The table of last tokens is therefore filled from left to right, with exact appends:
 earlier entries never change. Reading it backwards gives the ids. After an edit the table is valid up to the edit.
 An automaton over the tokens' beginnings (Aho-Corasick) names the tokens that end at each byte, the longest first, so no
-substring is looked up; its steps are made when first taken.
+substring is looked up; its steps are made when first taken. New pieces of several texts fill their tables together, a byte
+of each at a time, in arrays.
 """
 
 import base64
@@ -22,6 +23,10 @@ from tidemark.llm.common import own_names, text_batches, text_udf, worker_cache
 MEMO_PIECES = 50_000
 MEMO_PAIRS = 250_000
 MEMO_STEPS = 250_000
+#: New pieces that fill their tables together: at least so many, at most so many, and none longer than so many bytes.
+TOGETHER, MOST_TOGETHER, LONGEST_TOGETHER = 48, 16_384, 64
+#: Characters of texts whose pieces are looked up together; a longer text is taken alone.
+CHUNK_CHARS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -29,6 +34,57 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class LongTable:
+    """Values from 0 up by key (longs from 0 up), looked up for whole arrays; open addressing. Emptied when it holds `most` keys."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.empty(12)
+
+    def empty(self, bits: int) -> None:
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that aren't held."""
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held, out = self.keys[at], self.values[at]
+        left = np.flatnonzero((held != keys) & (held != -1))
+        at = at[left]
+        while left.size:
+            at = (at + 1) & (len(self.keys) - 1)
+            held, out[left] = self.keys[at], self.values[at]
+            on = (held != keys[left]) & (held != -1)
+            left, at = left[on], at[on]
+        return out
+
+    def put(self, key: int, value: int) -> None:
+        """Adds a key that isn't held."""
+        if self.n >= self.most:
+            self.empty(12)
+        elif 2 * self.n >= len(self.keys):
+            held = self.keys >= 0
+            old = self.keys[held].tolist(), self.values[held].tolist()
+            self.empty(self.bits + 1)
+            for k, x in zip(*old, strict=True):
+                self.put(k, x)
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
+        while self.keys[at] != -1:
+            at = (at + 1) & (len(self.keys) - 1)
+        self.keys[at], self.values[at], self.n = key, value, self.n + 1
+
+    def get_or_make(self, keys: np.ndarray, make) -> np.ndarray:
+        """The values; make gives that of a key not held."""
+        out = self.get(keys)
+        if (new := np.flatnonzero(out < 0)).size:
+            names, which = np.unique(keys[new], return_inverse=True)
+            made = [make(k) for k in names.tolist()]
+            for k, x in zip(names.tolist(), made, strict=True):
+                self.put(k, x)
+            out[new] = np.array(made, np.int32)[which]
+        return out
+
+
 class Vocabulary:
     """Ranks, what may follow what, and memos; built once in a worker."""
 
@@ -47,6 +103,11 @@ class Vocabulary:
         self.steps: dict[int, int] = {}
         self.spines: dict[tuple[bytes, bool], tuple | None] = {}
         self.table = [self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)]
+        #: The same for arrays: lengths of tokens, the longest token that ends in a state, the next shorter one that ends a token.
+        self.lengths = np.array([len(t or b"") for t in self.table], np.int32)
+        self.first = np.full(len(self.starts), -1, np.int32)
+        self.shorter = np.full(len(self.table), -1, np.int32)
+        self.array_steps, self.array_pairs = LongTable(MEMO_STEPS), LongTable(MEMO_PAIRS)
 
     def merge(self, data: bytes, least: int = 1) -> list[bytes]:
         """BPE of a short string by definition: the leftmost pair of least rank, again and again, down to `least` parts."""
@@ -89,11 +150,15 @@ class Vocabulary:
         """Whether BPE of the bytes of both tokens yields just these: no merge across the border comes first."""
         if len(self.pairs) >= MEMO_PAIRS:
             self.pairs.clear()
-        a, b = self.table[i], self.table[j]
-        x, y = self.spine(a, True), self.spine(b, False)
-        ok = self.pairs[i << 32 | j] = self._border_holds(x, y) if x and y else self.merge(a + b) == [a, b]
+        ok = self.pairs[i << 32 | j] = self.holds(i << 32 | j)
         return ok
 
+    def holds(self, pair: int) -> bool:
+        """The same for the ids of both in one number, without the memo."""
+        a, b = self.table[pair >> 32], self.table[pair & 0xFFFFFFFF]
+        x, y = self.spine(a, True), self.spine(b, False)
+        return self._border_holds(x, y) if x and y else self.merge(a + b) == [a, b]
+
     def step(self, key: int) -> tuple[int, tuple[tuple[int, int], ...]]:
         """The state after a byte, << 8, and its tokens; key: the state before << 8 | the byte.
 
@@ -101,14 +166,23 @@ class Vocabulary:
         """
         if len(self.steps) >= MEMO_STEPS:
             self.steps.clear()
+        at = self.next_state(key)
+        self.steps[key] = found = (at << 8, self.ends[at])
+        return found
+
+    def next_state(self, key: int) -> int:
+        """The same state, not shifted, without the memo; its tokens are known from then on."""
         read = self.starts[key >> 8] + bytes((key & 255,))
         at = next(k for n in range(len(read) + 1) if (k := self.state_of.get(read[n:])) is not None)
         if self.ends[at] is None:
             name = self.starts[at]
             tokens = [name[n:] for n in range(len(name)) if name[n:] in self.ranks]
-            self.ends[at] = tuple((i, len(t)) for t in tokens if (i := self.id_of(t)) is not None)
-        self.steps[key] = found = (at << 8, self.ends[at])
-        return found
+            self.ends[at] = ends = tuple((i, len(t)) for t in tokens if (i := self.id_of(t)) is not None)
+            chain = [i for i, _ in ends]
+            if chain:
+                self.first[at] = chain[0]
+                self.shorter[chain[:-1]] = chain[1:]
+        return at
 
     def state_after(self, data: bytes) -> int:
         state = 0
@@ -140,6 +214,48 @@ class Vocabulary:
             end += 1
         return state
 
+    def fill_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (none empty) as little-endian unsigned 32-bit integers; the tables of fill() are rows of one array."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        data, states = np.frombuffer(b"".join(pieces), np.uint8), np.zeros(len(pieces), np.int64)
+        longer = len(pieces) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+        last = np.full((sizes[0] + 1, len(pieces)), -1, np.int32)
+        for end, n in enumerate(longer.tolist(), 1):
+            at = self.array_steps.get_or_make(states[:n] << 8 | data[starts[:n] + (end - 1)], self.next_state)
+            states[:n] = at
+            token = self.first[at]
+            open_ = np.flatnonzero(token >= 0)
+            token = token[open_]
+            while open_.size:
+                size = self.lengths[token]
+                before, ok = last[end - size, open_], size == end
+                asked = np.flatnonzero(before >= 0)
+                ok[asked] = self.array_pairs.get_or_make(before[asked].astype(np.int64) << 32 | token[asked], self.holds) == 1
+                last[end, open_[ok]] = token[ok]
+                open_, token = open_[~ok], self.shorter[token[~ok]]
+                on = token >= 0
+                open_, token = open_[on], token[on]
+        rounds, left, who = [], sizes.copy(), np.arange(len(pieces))
+        while who.size:
+            token = last[left[who], who]
+            if (token < 0).any():
+                raise ValueError("the vocabulary lacks a byte of the text")
+            ids = np.zeros(len(pieces), "<u4")
+            ids[who] = token
+            rounds.append((ids, who))
+            left[who] -= self.lengths[token]
+            who = who[left[who] > 0]
+        counts = np.zeros(len(pieces), np.int64)
+        for _, who in rounds:
+            counts[who] += 1
+        packed, width = np.array([ids for ids, _ in rounds[::-1]], "<u4").T.tobytes(), 4 * len(rounds)
+        out: list[bytes] = [b""] * len(pieces)
+        for k, (at, n) in enumerate(zip(order.tolist(), counts.tolist(), strict=True)):
+            out[at] = packed[(k + 1) * width - 4 * n : (k + 1) * width]
+        return out
+
     def _border_holds(self, x, y) -> bool:
         end, i, j, ranks = 1 << 60, 0, 0, self.ranks
         while True:
@@ -202,22 +318,53 @@ def encode_piece(v: Vocabulary, piece: str) -> list[int]:
 
 def encode(v: Vocabulary, text: str | None) -> np.ndarray:
     """Ids of a whole text, each match of the pattern separately; a null text has none."""
-    memo, pieces = v.pieces, v.pattern.findall(text or "")
-    out = list(map(memo.get, pieces))
-    if None in out:
-        for k, ids in enumerate(out):
-            if ids is None:
-                piece = pieces[k]
-                if (ids := memo.get(piece)) is None:
-                    if (ids := v.older.get(piece)) is None:
-                        ids = struct.pack(f"<{len(ids := encode_piece(v, piece))}I", *ids)
-                    if len(piece) <= 64:
-                        if len(memo) >= MEMO_PIECES:
-                            v.older, v.pieces = memo, {}
-                            memo = v.pieces
-                        memo[piece] = ids
-                out[k] = ids
-    return np.frombuffer(b"".join(out), dtype="<u4")
+    return encode_chunk(v, [text])[0]
+
+
+def encode_all(v: Vocabulary, texts: list[str | None]):
+    """Ids of each text in turn; pieces that no memo has are encoded together for CHUNK_CHARS characters of texts."""
+    at = 0
+    while at < len(texts):
+        end, chars = at + 1, len(texts[at] or "")
+        while end < len(texts) and (chars := chars + len(texts[end] or "")) <= CHUNK_CHARS:
+            end += 1
+        yield from encode_chunk(v, texts[at:end])
+        at = end
+
+
+def encode_chunk(v: Vocabulary, texts: list[str | None]) -> list[np.ndarray]:
+    pieces = [v.pattern.findall(text or "") for text in texts]
+    rows = [list(map(v.pieces.get, row)) for row in pieces]
+    gaps = [[k for k, ids in enumerate(row) if ids is None] if None in row else [] for row in rows]
+    made = {piece: v.older.get(piece) for row, gap in zip(pieces, gaps, strict=True) for piece in map(row.__getitem__, gap)}
+    made |= encode_pieces(v, [piece for piece, ids in made.items() if ids is None])
+    for piece, ids in made.items():
+        if len(piece) <= 64:
+            if len(v.pieces) >= MEMO_PIECES:
+                v.older, v.pieces = v.pieces, {}
+            v.pieces[piece] = ids
+    for row, names, gap in zip(rows, pieces, gaps, strict=True):
+        for k in gap:
+            row[k] = made[names[k]]
+    return [np.frombuffer(b"".join(row), dtype="<u4") for row in rows]
+
+
+def encode_pieces(v: Vocabulary, pieces: list[str]) -> dict[str, bytes]:
+    """Packed ids of different pieces: a few and long ones one at a time, others together."""
+    out: dict[str, bytes] = {}
+    rest: list[tuple[str, bytes]] = []
+    for piece in pieces:
+        data = piece.encode()
+        if (i := v.ranks.get(data)) is not None:
+            out[piece] = struct.pack("<I", i)
+        elif len(pieces) < TOGETHER or not 0 < len(data) <= LONGEST_TOGETHER:
+            out[piece] = struct.pack(f"<{len(ids := encode_piece(v, piece))}I", *ids)
+        else:
+            rest.append((piece, data))
+    for at in range(0, len(rest), MOST_TOGETHER):
+        part = rest[at : at + MOST_TOGETHER]
+        out |= zip((piece for piece, _ in part), v.fill_together([data for _, data in part]), strict=True)
+    return out
 
 
 def decode(v: Vocabulary, ids) -> bytes:
@@ -289,8 +436,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     @text_udf(kind, CACHE)
     def run(texts):
         v, out = vocabulary(shared, pattern), []
-        for text in texts:
-            ids = encode(v, text)
+        for ids in encode_all(v, texts):
             row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(v, ids)).hexdigest())
             out.append((*row, ids.astype(np.int32)) if with_ids else row)
         return out
